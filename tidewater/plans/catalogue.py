@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import aggregates, changes, extensions, joins, meta, scalars, scans, search
 
-
-def agg_sum_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return line.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"))
-
-
-QUERIES = {"agg_sum_group": agg_sum_group}
-ORACLES = {"agg_sum_group": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty FROM lineitem GROUP BY ALL"}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for family in (scans, aggregates, joins, scalars, search, changes, meta, extensions):
+    QUERIES.update(family.q.queries)
+    ORACLES.update(family.q.oracles)
