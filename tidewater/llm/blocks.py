@@ -18,12 +18,17 @@ from pyspark.sql import functions as F
 def pieces(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
     """Rows of groups of two or more, with a column ``piece``; sorted by key and piece within partitions."""
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return dealt(rows.join(counts, key), key, member, most)
+
+
+def dealt(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
+    """The same for rows that have their group's size in ``_n``."""
     parts = F.ceil(F.col("_n") / F.lit(most)).cast("int")
-    known = rows.join(counts, key).withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), member), "_parts").cast("int"))
+    known = rows.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), member), "_parts").cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.least("_own", j).cast("long") * F.lit(1 << 31) + F.greatest("_own", j))
     others = F.when(F.col("_parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_except(others, F.array(F.col("_own").cast("long") * F.lit((1 << 31) + 1))))
-    dealt = known.withColumn("piece", F.explode(others)).drop("_n", "_own", "_parts")
-    return dealt.repartition(*key, "piece").sortWithinPartitions(*key, "piece")
+    out = known.withColumn("piece", F.explode(others)).drop("_n", "_own", "_parts")
+    return out.repartition(*key, "piece").sortWithinPartitions(*key, "piece")
 
 
 def streamed(batches: Iterator[pa.RecordBatch], key: list[str], work: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import Forest, pieces, streamed
+from .blocks import Forest, dealt, streamed
 from .bundles import Bundles
 from .components import components
 
@@ -156,16 +156,15 @@ def line_links(b: Bundles, radius: int = RADIUS, short: int = SHORT, most: int =
     same = Window.partitionBy("key")
     met = rows.withColumns({"lo": F.min("h").over(same), "hi": F.max("h").over(same), "own": F.max(F.col("mark") % 2).over(same)}).where("lo <> hi and own = 1")
     met = met.groupBy("key", "h").agg(F.max(F.col("mark") % 2).alias("own"), F.min(F.shiftright("mark", 1)).cast("int").alias("_bundle"))
-    wanted = met.groupBy("h").agg(F.min("_bundle").alias("_bundle"))
+    met = met.withColumn("_n", F.count(F.lit(1)).over(same))
 
     def fetch(number, t, wanted):
-        want = set(wanted.column("h").to_pylist())
+        h = wanted.column("h").to_pylist()
+        want = set(h)
         found = {x: line for (x, _), (_, _, line) in _firsts(t, text).items() if x in want} if want else {}
-        return pa.table({"h": pa.array(list(found), pa.int64()), "line": pa.array(list(found.values()), pa.string())})
+        return pa.table({c: wanted.column(c) for c in ("key", "h", "own", "_n")} | {"line": pa.array([found[x] for x in h], pa.string())})
 
-    lines = b.apply_with(wanted, fetch, "h long, line string")
-    dealt = pieces(met.select("key", "h", "own"), ["key"], "h", most)
-    dealt = dealt.join(lines, "h").repartition("key", "piece").sortWithinPartitions("key", "piece")
+    lines = dealt(b.apply_with(met, fetch, "key long, h long, own long, _n long, line string"), ["key"], "h", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(batch: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -181,7 +180,7 @@ def line_links(b: Bundles, radius: int = RADIUS, short: int = SHORT, most: int =
 
         yield from streamed(batches, ["key", "piece"], work)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return lines.mapInArrow(run, "a long, b long")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, short: int = SHORT) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What several operators need from the session: the shared folder, checkpoints, tokenizer paths, row bundles."""
+"""What several operators need from the session: the shared folder, checkpoints, word classes."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
@@ -32,25 +34,17 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder."""
+    """Cuts the lineage with files in the shared folder, and lets Spark remove the shuffle files that led there."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    was = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def bundled(docs: DataFrame, id_col: str, text_col: str, size: int = 1 << 21) -> tuple[DataFrame, int]:
-    """Deals rows into bundles of about ``size`` bytes of text by a hash of their id (of the text, if the id is null).
-
-    Returns the rows with a column ``bundle``, hash-partitioned on it, and the number of bundles. A plan that reads the
-    result several times shuffles the texts once, since Spark reuses the exchange.
-    """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(partitions(spark), -(-total // size))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
-    return docs.withColumn("bundle", F.pmod(key, F.lit(n)).cast("int")).repartition(partitions(spark), "bundle"), int(n)
