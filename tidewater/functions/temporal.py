@@ -41,7 +41,7 @@ def parse_time(s: Column) -> Column:
 
 
 def date_format(d: Column, fmt: str = "%Y-%m-%d") -> Column:
-    return F.when(d.isNotNull(), F.date_format(d, pattern(fmt)))
+    return F.date_format(d, pattern(fmt)) if fmt else F.lit(None).cast("string")
 
 
 def time_format(t: Column, fmt: str = "%H:%i:%s") -> Column:

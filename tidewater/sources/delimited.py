@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, StringType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.temporal import parse_date, parse_timestamp
 
@@ -24,28 +24,32 @@ def _value(x: Column, kind) -> Column:
     if isinstance(kind, BinaryType):
         return F.unbase64(x)
     if isinstance(kind, ArrayType):
-        return F.split(F.regexp_replace(x, r"^\[|\]$", ""), ",").cast(kind)
+        inner = F.regexp_replace(x, r"^\[|\]$", "")
+        return F.when(inner == "", F.array().cast(kind)).otherwise(F.split(inner, ",").try_cast(kind))
     return x.try_cast(kind)
 
 
 def load_data(spark: SparkSession, path: str, schema: StructType, sep: str = "\t", enclosed: str | None = None, escaped: str = "\\", line_end: str = "\n", starting: str = "", ignore: int = 0, encoding: str = "UTF-8") -> DataFrame:
-    """Rows of a delimited file. ``starting``: what a line has to hold, and what comes before it is passed over;
-    ``ignore``: the first lines of each file. Missing fields are NULL."""
-    if starting or ignore:
-        lines = spark.read.text(path, lineSep=line_end).select("value", F.input_file_name().alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-        if ignore:  # only a file's first block can hold its first lines
-            rank = F.row_number().over(Window.partitionBy("f").orderBy("i"))
-            head = lines.where(F.col("b") == 0).withColumn("r", rank).where(F.col("r") > ignore).drop("r")
-            lines = head.unionByName(lines.where(F.col("b") > 0))
-        if starting:
-            lines = lines.where(F.col("value").contains(starting)).withColumn("value", F.regexp_replace("value", "^.*?" + re.escape(starting), ""))
-        options = {"sep": sep, "escape": escaped, "quote": enclosed or "", "mode": "PERMISSIVE"}
-        parsed = lines.select(F.from_csv("value", F.lit(", ".join(f"`{f.name}` string" for f in schema)), options).alias("r")).select("r.*")
-    else:
-        text = StructType([StructField(f.name, StringType()) for f in schema])
-        parsed = spark.read.schema(text).csv(path, sep=sep, quote=enclosed or "", escape=escaped, lineSep=line_end, encoding=encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
-    clean = [F.when(F.col(f"`{f.name}`") == NULL, F.lit(None)).otherwise(F.col(f"`{f.name}`")) for f in schema]
-    return parsed.select(*[_value(c, f.dataType).alias(f.name) for c, f in zip(clean, schema)])
+    """Rows of a delimited file. ``starting``: what a line has to hold; it and what comes before it are passed over.
+    ``ignore``: the first lines of each file. Missing fields are NULL, and so are fields that are \\N as they stand; an
+    escape before any other character is dropped. A line end always ends a row."""
+    lines = spark.read.option("encoding", encoding).text(path, lineSep=line_end)
+    if ignore:  # only a file's first block can hold its first lines
+        lines = lines.select("value", F.input_file_name().alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        head = lines.where(F.col("b") == 0).withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy("i"))).where(F.col("r") > ignore)
+        lines = head.select("value").unionByName(lines.where(F.col("b") > 0).select("value"))
+    if starting:
+        lines = lines.where(F.col("value").contains(starting)).select(F.regexp_replace("value", "^.*?" + re.escape(starting), "").alias("value"))
+    e, s = re.escape(escaped), re.escape(sep)
+    plain = f"(?:{e}.|(?!{s})[^{e}])*"
+    field = f"{re.escape(enclosed)}(?:{e}.|[^{e}{re.escape(enclosed)}])*{re.escape(enclosed)}|{plain}" if enclosed else plain
+    parts = lines.select(F.regexp_extract_all(F.concat("value", F.lit(sep)), F.lit(f"(?s)({field}){s}"), F.lit(1)).alias("p"))
+
+    def clean(x: Column) -> Column:
+        bare = F.when(x.startswith(enclosed) & x.endswith(enclosed) & (F.char_length(x) > 1), F.substr(x, F.lit(2), F.char_length(x) - 2)).otherwise(x) if enclosed else x
+        return F.when(bare == NULL, F.lit(None)).otherwise(F.regexp_replace(bare, f"(?s){e}(.)", "$1"))
+
+    return parts.select(*[_value(clean(F.try_element_at("p", F.lit(i + 1))), f.dataType).alias(f.name) for i, f in enumerate(schema)])
 
 
 def _field(x: Column, kind, special: list[str], enclosed: str, escaped: str) -> Column:
