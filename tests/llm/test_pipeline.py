@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -188,8 +188,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are separated by line feeds; lines of white space are not lines here and stay. Lines of under ``short`` code
     points are in a class with equal lines only. First means by id (nulls last), then by a hash of the text, then by
-    place. A null text stays null, and a text that loses all its lines is empty. All columns are kept.
+    place. A null text stays null, and a text that loses all its lines is empty. All columns are
+    kept, but for those named n_lines, n_removed, _tag or _bundle.
     """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "_tag", "_bundle")])
     b = Bundles(docs, id_col, text_col)
     names, classes = docs.columns, components(line_links(b, radius, short))
 

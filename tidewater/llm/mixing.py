@@ -38,8 +38,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The documents with four more columns: mix_size (words), mix_source_size, mix_target and mix_copies.
 
     Null texts have size 0; a null source is a source of its own. Repeated rows are sampled each by itself. Every row
-    of the input is in the result, with 0 copies if it isn't taken; the same input gives the same copies.
+    of the input is in the result, with 0 copies if it isn't taken; the same input gives the same copies. Columns whose
+    names begin with mix_ are replaced.
     """
+    own = [c for c in docs.columns if not c.lower().startswith("mix_")]
+    docs = docs.select(*own)
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
     sized = docs.withColumns({"mix_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), "mix_key": key, "mix_tie": F.xxhash64(text_col)})
     sized = sized.withColumns({"mix_class": F.floor(F.log2(F.col("mix_size") + 1) * CLASSES).cast("int"), "mix_bucket": F.pmod(F.xxhash64(F.col(id_col), "mix_tie"), F.lit(BUCKETS)).cast("int")})
@@ -56,7 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = F.col("mix_start") + F.col("mix_rank")
     copies = F.floor(at * step + F.col("mix_offset")) - F.floor((at - 1) * step + F.col("mix_offset"))
     out = ranked.join(known, place).withColumn("mix_copies", copies.cast("int"))
-    return out.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return out.select(*own, "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:

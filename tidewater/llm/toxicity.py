@@ -256,11 +256,12 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, most_bytes:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """A row per input row: the id, score (0 to 1), spans (code-point offsets, end exclusive); all columns if ``keep``.
+    """A row per input row: the id, score (0 to 1), spans (code-point offsets, end exclusive); all columns if
+    ``keep``, of which these two replace any of their names.
 
     Null and empty texts have the score of a text without toxic tokens. One pass, no shuffle.
     """
-    names = docs.columns if keep else [id_col]
+    names = [c for c in docs.columns if c.lower() not in ("score", "spans")] if keep else [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, SLICE_BYTES):
@@ -268,5 +269,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             pairs = pa.array([[{"from": s, "to": e} for s, e in x] for x in spans], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(scores), pairs], names=[*names, "score", "spans"])
 
-    frame = docs if keep else docs.select(id_col, text_col)
+    frame = docs.select(*names) if keep else docs.select(id_col, text_col)
     return frame.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in names) + ", score double, spans array<struct<`from`:long,`to`:long>>")
