@@ -11,6 +11,7 @@ from tidewater.llm.packing import pack
 from tidewater.llm.queries import TOXIC, vocabulary
 from tidewater.llm.shared import shared_path
 from tidewater.llm.simhash import simhash_groups
+from tidewater.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,7 +44,17 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pack(docs, vocabulary("byte_bpe_50k.json"), 1)
 
 
-STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_lines), ("simhash", drop_near_copies), ("mixing", mix_sources), ("packing", pack_windows)]
+def _shipped(stage):
+    """The stage, on executors that have the package."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _shipped(f)) for name, f in (("toxicity", reject_toxic), ("line_dedup", drop_lines), ("simhash", drop_near_copies), ("mixing", mix_sources), ("packing", pack_windows))]
 
 #: Trained scores, edit joins and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
