@@ -93,7 +93,7 @@ def pack_group(rests: list[tuple[int, int, int]], size: int, last: bool) -> tupl
     return full, over
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 2048, drops_space: bool = False, group: int = 512, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 2048, lower: bool = False, group: int = 512, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A document is its whole text's ids and the end id; null and empty texts are the end id alone. Every id lies in one
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 2048, drops_
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, sequence = encoder(vocabulary, drops_space), TaskContext.get().partitionId() << 32
+        code, sequence = encoder(vocabulary, lower), TaskContext.get().partitionId() << 32
         known: dict[int, tuple] = {}  # document number: its id, its tokens, where its rest begins, the rest's ids
         rests: list[tuple[int, int, int]] = []
         out: list[tuple] = []

@@ -21,7 +21,7 @@ from .textkernel import slices
 from .tokens import encoder
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, drops_space: bool = True, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, stripe_mb: int = 64) -> str:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, stripe_mb: int = 64) -> str:
     """Encodes every whole text, appends ``end_id``, and writes (doc_id, row_tag, ids) to ``path``; returns the path.
 
     Null and empty texts have the end id alone. Null ids come first; rows with one id are ordered by a hash of the text.
@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, drops
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary, drops_space)
+        code = encoder(vocabulary, lower)
         for b in slices(batches, "text"):
             ids = [x + end for x in code.encode([t or "" for t in b.column(2).to_pylist()])]
             at = np.zeros(len(ids) + 1, dtype=np.int64)

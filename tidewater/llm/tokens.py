@@ -1,69 +1,127 @@
-"""Encoding with a public tokenizer, word by word through a cache.
+"""Encoding with a public tokenizer, word by word through caches.
 
 The tokenizers library does all encoding. A text is cut only where the tokenizer's own splitting always cuts, before a
 single space between two other characters, so the ids of the pieces in a row are those of the text; pieces repeat a lot,
-and each is encoded once per worker while the cache holds it. Texts with other runs of white space are cut at the safe
-places only, or encoded whole.
+and each is encoded once per worker while the cache holds it. Most pieces are a word of Latin letters between ASCII
+punctuation, which the tokenizer splits just there: those words go to the library's BPE model directly, without the
+normalising and splitting that leave them as they are, and have a cache of their own. Texts with other runs of white
+space are cut at the safe places only, or encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
-
-#: Pieces that a worker's cache holds at most; it starts anew then, which changes speed only.
-CACHE_PIECES = 400_000
+#: Pieces and words that a worker's caches hold at most; a full one starts anew, which changes speed only.
+CACHE_PIECES, CACHE_WORDS = 400_000, 500_000
 #: Longer pieces are not kept.
 CACHE_LENGTH = 48
 
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S ] | [^\S ]")
+#: White space beyond space and line feed (beyond ASCII's, for the second).
+_ODD = re.compile("[\t\r\f\v\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_LINES = re.compile(r" ?[^\s]+(?:\n[^\s]+)+")
+#: (space) punctuation, letters, punctuation: ASCII punctuation but the apostrophe, and the letters of Latin-1.
+_PLAIN = re.compile(r"( ?)([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _CODECS: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers. ``drops_space``: the vocabulary has no pieces with spaces."""
+    """Ids of texts as little-endian unsigned 32-bit integers. ``lower``: the tokenizer lower-cases and drops white space."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, lower: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.space = "" if drops_space else " "
+        self.model, self.lower, self.letters = self.tokenizer.model, lower, _byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        if self.space:
-            parts[1:] = [" " + p for p in parts[1:]]
-        return parts
+        if self.lower:
+            return re.split("[ \t\n\r\f\v]+", text.strip(" \t\n\r\f\v")) if _RARE.search(text) else text.split()
+        parts = text.split(" ")
+        if "" in parts or " \n" in text or "\n " in text or _ODD.search(text):
+            parts = _CUT.split(text)
+        return parts[:1] + [" " + p for p in parts[1:]]
+
+    def whole(self, piece: str) -> bytes:
+        return _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids) if piece else b""
+
+    def word(self, word: str) -> bytes:
+        """Ids of letters, with the space before them if they have one."""
+        got = self.words.get(word)
+        if got is None:
+            form = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            got = _packed([t.id for t in self.model.tokenize(form)])
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            self.words[word] = got
+        return got
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self.word(piece.lower() if self.lower else piece)
+        m = _PLAIN.fullmatch(piece)
+        if not m:
+            if not self.lower and _LINES.fullmatch(piece):
+                return self.mark("\n").join([self.piece(p) for p in piece.split("\n")])
+            return self.whole(piece)
+        space, before, letters, after = m.groups()
+        if self.lower:
+            letters, space = letters.lower(), ""
+        if before:
+            return self.mark(space + before) + self.word(letters) + (self.mark(after) if after else b"")
+        return self.word(space + letters) + (self.mark(after) if after else b"")
+
+    def mark(self, marks: str) -> bytes:
+        got = self.words.get(marks)
+        if got is None:
+            got = self.words[marks] = self.whole(marks)
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.cache
-        new = {p for parts in cut for p in parts if p not in known}
-        if new:
-            if len(known) + len(new) > CACHE_PIECES:
-                known = self.cache = {}
-                new = {p for parts in cut for p in parts}
-            fresh, queue = {}, list(new)
-            for i in range(0, len(queue), 20_000):
-                part = queue[i : i + 20_000]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    fresh[p] = np.array(e.ids, dtype="<u4").tobytes()
-            known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHE_LENGTH)
-            if len(known) < len(fresh) or any(len(p) > CACHE_LENGTH for p in fresh):
-                get = lambda p: fresh[p] if p in fresh else known[p]
-                return [b"".join(map(get, parts)) for parts in cut]
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
-
-
-def encoder(path: str, drops_space: bool) -> Encoder:
+        out = []
+        for text in texts:
+            cache = self.cache
+            parts = self.pieces(text) if text else []
+            new = set(parts).difference(cache)
+            if new:
+                if len(cache) + len(new) > CACHE_PIECES:
+                    cache.clear()
+                    new = set(parts)
+                for p in new:
+                    cache[p] = self.piece(p)
+            out.append(b"".join([cache[p] for p in parts]))
+            for p in new:
+                if len(p) > CACHE_LENGTH:
+                    del cache[p]
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
+def encoder(path: str, lower: bool) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    key = path, drops_space
+    key = path, lower
     if key not in _CODECS:
-        _CODECS[key] = Encoder(path, drops_space)
+        _CODECS[key] = Encoder(path, lower)
     return _CODECS[key]
