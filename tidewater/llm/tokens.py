@@ -20,8 +20,7 @@ CACHE_PIECES, CACHE_WORDS = 400_000, 500_000
 #: Longer pieces are not kept.
 CACHE_LENGTH = 48
 
-#: White space beyond space and line feed (beyond ASCII's, for the second).
-_ODD = re.compile("[\t\r\f\v\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: What may pass for white space beyond ASCII's six.
 _RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LINES = re.compile(r" ?[^\s]+(?:\n[^\s]+)+")
@@ -37,6 +36,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _rare(text: str) -> bool:
+    """Whether a text has rare white space; the letters of most texts are Latin-1, in which little needs a look."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_RARE.search(text))
+    return any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0")
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers. ``lower``: the tokenizer lower-cases and drops white space."""
 
@@ -52,9 +60,9 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         if self.lower:
-            return re.split("[ \t\n\r\f\v]+", text.strip(" \t\n\r\f\v")) if _RARE.search(text) else text.split()
+            return re.split("[ \t\n\r\f\v]+", text.strip(" \t\n\r\f\v")) if _rare(text) else text.split()
         parts = text.split(" ")
-        if "" in parts or " \n" in text or "\n " in text or _ODD.search(text):
+        if "" in parts or " \n" in text or "\n " in text or any(c in text for c in "\t\r\f\v") or _rare(text):
             parts = _CUT.split(text)
         return parts[:1] + [" " + p for p in parts[1:]]
 
@@ -65,7 +73,10 @@ class Encoder:
         """Ids of letters, with the space before them if they have one."""
         got = self.words.get(word)
         if got is None:
-            form = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            if not word.isascii():
+                form = word.encode().decode("latin-1").translate(self.letters)
+            else:
+                form = self.letters[32] + word[1:] if word[0] == " " else word
             got = _packed([t.id for t in self.model.tokenize(form)])
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
@@ -73,8 +84,12 @@ class Encoder:
         return got
 
     def piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return self.word(piece.lower() if self.lower else piece)
+        if piece.isascii():  # most are a word, or a word and a mark
+            body = piece[1:] if piece[:1] == " " else piece
+            if body.isalpha():
+                return self.word(piece.lower() if self.lower else piece)
+            if body[:-1].isalpha() and body[-1] in ".,;:!?":
+                return self.word(piece[:-1].lower() if self.lower else piece[:-1]) + self.mark(body[-1])
         m = _PLAIN.fullmatch(piece)
         if not m:
             if not self.lower and _LINES.fullmatch(piece):
