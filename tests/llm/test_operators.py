@@ -173,6 +173,14 @@ def test_chain_against_enumeration():
     assert np.allclose(whole, np.concatenate([toxicity.chain(long_[i:j], where[i:j], start, moves) for i, j in zip(cuts, cuts[1:])]))
 
 
+def test_regression_on_separable_labels():
+    x = np.array([[1.0, 0, 0, 0]] * 4000 + [[1.0, 2, 1, 0.05]] * 400)
+    y = np.array([0] * 4000 + [1] * 400)
+    w = toxicity._logistic(x, y)
+    p = 1 / (1 + np.exp(-(x @ w)))
+    assert np.abs(w).max() < 100 and p[:4000].max() < 0.1 and p[4000:].min() > 0.9
+
+
 def test_training_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).where("score >= 0.7").count() == 0

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bundles import pieces_of
 from .textkernel import HASH_A, SLICE_BYTES, Texts, mix, row_of, slices
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -150,6 +151,18 @@ def _gathered(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), np.log1p(total), top, total / np.maximum(n, 1)], axis=1)
 
 
+def _features(texts: pa.Array):
+    """For each kind of feature, the different (row, hash) pairs."""
+    _, _, at, kinds = tokens(Texts(texts))
+    rows = row_of(at)
+    for h in kinds:
+        order = np.lexsort((h, rows))
+        r, f = rows[order], h[order]
+        keep = f != 0
+        keep[1:] &= (r[1:] != r[:-1]) | (f[1:] != f[:-1])
+        yield r[keep], f[keep]
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, most_features: int = 4096, least_ratio: float = 20.0, rounds: int = 40) -> Model:
     """The model of labelled texts (0/1). Without texts of both labels nothing is toxic but by the base rate."""
     model, rate = Model(), (toxic.sum() + 0.5) / (len(toxic) + 1.0)
@@ -157,21 +170,21 @@ def fit(texts: pa.Array, toxic: np.ndarray, most_features: int = 4096, least_rat
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return model
-    seen: list[list[np.ndarray]] = [[], []]
-    step = 200
-    for i in range(0, len(texts), step):
-        _, _, at, kinds = tokens(Texts(texts[i : i + step]))
-        rows = row_of(at)
-        for h in kinds:
-            pair = np.unique(np.rec.fromarrays([rows[h != 0], h[h != 0]]))
-            hot = toxic[i : i + step][pair.f0] == 1
-            seen[1].append(np.ascontiguousarray(pair.f1[hot]))
-            seen[0].append(np.ascontiguousarray(pair.f1[~hot]))
-    feats, df1 = np.unique(np.concatenate(seen[1]), return_counts=True)
-    clean, counts = np.unique(np.concatenate(seen[0]), return_counts=True)
-    at = np.minimum(np.searchsorted(clean, feats), max(0, len(clean) - 1))
-    df0 = np.where(clean[at] == feats, counts[at], 0) if len(clean) else np.zeros(len(feats))
-    del seen, clean, counts
+    cut = pieces_of(pa.table({"t": texts}), "t", SLICE_BYTES)  # bounds the driver's memory
+    found = []
+    for i, texts_ in cut:
+        hot = np.flatnonzero(toxic[i : i + len(texts_)] == 1)
+        found += [f for _, f in _features(texts_.take(pa.array(hot)))]
+    feats, df1 = np.unique(np.concatenate(found), return_counts=True)
+    feats, df1 = feats[df1 > 2], df1[df1 > 2]
+    if not len(feats):
+        return model
+    df0 = np.zeros(len(feats), dtype=np.int64)
+    for i, texts_ in cut:
+        for _, f in _features(texts_.take(pa.array(np.flatnonzero(toxic[i : i + len(texts_)] == 0)))):
+            at = np.minimum(np.searchsorted(feats, f), len(feats) - 1)
+            df0 += np.bincount(at[feats[at] == f], minlength=len(feats))
+    del found
 
     def part(k, e):
         return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / e), 0.0)
@@ -184,37 +197,60 @@ def fit(texts: pa.Array, toxic: np.ndarray, most_features: int = 4096, least_rat
     if not len(model.features):
         return model
     model.weights = np.zeros(len(model.features))
-    _, _, at, kinds = tokens(Texts(texts))
-    n, first = int(at[-1]), _first(at, int(at[-1]))
-    who, what = active(model.features, kinds)
-    del kinds
-    gold = np.zeros(n, dtype=np.int64)
-    gold[who] = 1
-    gold *= toxic[row_of(at)]
-    seen_moves = np.zeros((2, 2))
-    inner = np.flatnonzero(~first)
-    np.add.at(seen_moves, (gold[inner - 1], gold[inner]), 1)
+    slices_ = []  # of whole documents: the chain starts anew at each
+    seen_moves, n_gold, n_first = np.zeros((2, 2)), 0, 0
+    gold_features = np.zeros(len(model.weights))
+    for i, texts_ in cut:
+        _, _, at, kinds = tokens(Texts(texts_))
+        who, what = active(model.features, kinds)
+        n = int(at[-1])
+        first, gold = _first(at, n), np.zeros(n, dtype=np.int64)
+        gold[who] = 1
+        gold *= toxic[i + row_of(at)] if n else 1
+        inner = np.flatnonzero(~first)
+        np.add.at(seen_moves, (gold[inner - 1], gold[inner]), 1)
+        gold_features += np.bincount(what, weights=gold[who], minlength=len(model.weights))
+        n_gold, n_first = n_gold + gold.sum(), n_first + gold[first].sum()
+        slices_.append((n, at, who, what, first))
     moments = None
-    for r in range(rounds):  # Adam on the penalised log-likelihood
-        p, expected = chain(_emissions(model, n, who, what), first, model.start, model.moves, pairs=True)
-        off = gold - p
-        grad = np.concatenate([np.bincount(what, weights=off[who], minlength=len(model.weights)) - 0.1 * model.weights, [off.sum(), off[first].sum() - 0.1 * model.start], (seen_moves - expected - 0.1 * model.moves).ravel()])
+    for r in range(rounds):  # Adam on the penalised log-likelihood: what the labels have, less what the model expects
+        grad = np.concatenate([gold_features - 0.1 * model.weights, [n_gold, n_first - 0.1 * model.start], (seen_moves - 0.1 * model.moves).ravel()])
+        for n, at, who, what, first in slices_:
+            if n:
+                p, moved = chain(_emissions(model, n, who, what), first, model.start, model.moves, pairs=True)
+                grad -= np.concatenate([np.bincount(what, weights=p[who], minlength=len(model.weights)), [p.sum(), p[first].sum()], moved.ravel()])
         moments = (0.1 * grad, 0.01 * grad**2) if moments is None else (0.9 * moments[0] + 0.1 * grad, 0.99 * moments[1] + 0.01 * grad**2)
         step = 0.3 * (moments[0] / (1 - 0.9 ** (r + 1))) / (np.sqrt(moments[1] / (1 - 0.99 ** (r + 1))) + 1e-6)
         model.weights += step[:-6]
         model.bias += step[-6]
         model.start += step[-5]
         model.moves += step[-4:].reshape(2, 2)
-    x = _gathered(chain(_emissions(model, n, who, what), first, model.start, model.moves), at)
-    w = model.score
-    for _ in range(30):  # Newton steps of the logistic regression
-        mu = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (mu * (1 - mu))[:, None]).T @ x + np.diag([1e-6, 0.1, 0.1, 0.1])
-        w = w + np.linalg.solve(h, x.T @ (toxic - mu) - np.array([0, 0.1, 0.1, 0.1]) * w)
-    model.score = w
+    x = np.concatenate([_gathered(chain(_emissions(model, n, who, what), first, model.start, model.moves), at) for n, at, who, what, first in slices_])
+    model.score = _logistic(x, toxic)
     return model
 
 
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a penalised logistic regression, by Newton steps that are halved until they gain; separable labels are fine."""
+    penalty = np.array([0.001, *[0.1] * (x.shape[1] - 1)])
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * penalty @ (w * w)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        mu = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (mu * (1 - mu))[:, None]).T @ x + np.diag(penalty), x.T @ (y - mu) - penalty * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return w
+
+
 def tag(model: Model, column: pa.Array, least: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """Scores, and the toxic spans in code points: neighbouring tokens with marginals of ``least`` or more."""
     t = Texts(column)
