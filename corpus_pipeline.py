@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import mixing, toxicity
 from tidewater.llm.line_dedup import line_dedup
+from tidewater.llm.near_copies import near_copy_groups
 from tidewater.llm.packing import pack
 from tidewater.llm.queries import TOXIC, vocabulary
 from tidewater.llm.shared import shared_path
-from tidewater.llm.simhash import simhash_groups
 from tidewater.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id; documents without an id are in no group of others and stay."""
-    keep = simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more, in chains), the document with the least id; documents without an id are in no group of others and stay."""
+    keep = near_copy_groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
@@ -54,7 +54,7 @@ def _shipped(stage):
     return run_stage
 
 
-STAGES = [(name, _shipped(f)) for name, f in (("toxicity", reject_toxic), ("line_dedup", drop_lines), ("simhash", drop_near_copies), ("mixing", mix_sources), ("packing", pack_windows))]
+STAGES = [(name, _shipped(f)) for name, f in (("toxicity", reject_toxic), ("line_dedup", drop_lines), ("near_copies", drop_near_copies), ("mixing", mix_sources), ("packing", pack_windows))]
 
 #: Trained scores, edit joins and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
