@@ -1,16 +1,19 @@
 """Licence scans by sentence rules: DataFrame operations only, one pass, no shuffle.
 
-A text is split into sentences, each is normalised (ASCII lower case, runs of other characters to one space) and looked
-up among known licence sentences; the identifiers, in the text's order, form a sequence such as ``,7,9,``. A licence
-rule is an ordered list of identifiers with free sentences between them; the rules are tried in their order.
+A text is normalised (ASCII lower case, runs of other characters to one space) with marks where sentences, paragraphs
+and lines end. A known licence sentence is found where its words stand between two marks; it may be wrapped over lines,
+with comment marks, but not over a blank line. The identifiers, in the text's order, form a sequence such as ``,7,9,``. A
+licence rule is an ordered list of identifiers with free sentences between them; the rules are tried in their order.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences, as published with the licences, by identifier.
+#: Known licence sentences by identifier, some of them (2, 4, 5) shortened; these and RULES are also the SQL's.
 SENTENCES = {
     1: "Released under the MIT License.",
     2: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
@@ -46,6 +49,16 @@ RULES = [
     ("Public-Domain", (15,)),
     ("All-Rights-Reserved", (12,)),
 ]
+#: Sentences as published where SENTENCES has them shortened, and the rules with them; the SQL doesn't know these.
+PUBLISHED = {
+    17: 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    18: 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+}
+PUBLISHED_RULES = {"MIT": (17, 3), "Apache-2.0": (18,)}
+KNOWN = SENTENCES | PUBLISHED
+ALL_RULES = [x for name, ids in RULES for x in ([(name, PUBLISHED_RULES[name])] if name in PUBLISHED_RULES else []) + [(name, ids)]]
+#: Each known sentence has one of these; texts without them are not normalised.
+SIGNS = "licens|permission|copyright|warranty|reserved|redistribution|domain"
 
 
 def normal_form(sentence: str) -> str:
@@ -58,23 +71,38 @@ def pattern(ids: tuple) -> str:
     return "," + ",([0-9]+,)*".join(map(str, ids)) + ","
 
 
+def wrapped(sentence: str) -> str:
+    """A regular expression for a sentence in a marked text: lines (``~``) may end between its words, and sentences (``|``) where it has such an end itself, as in ``v. 2.0``."""
+    parts = [normal_form(x).replace(" ", "[ ~]") for x in re.split(r"[.!?]\s+", sentence)]
+    return "[ ~|]".join(parts)
+
+
+def marked(low):
+    """Lower-case text with ``|`` where a sentence or paragraph ends, ``~`` at other line ends, and else one space between words."""
+    text = F.translate(low, "|~", "  ")
+    text = F.regexp_replace(text, r"[.!?][ \t\r\x0B\f\n]+", "|")
+    text = F.regexp_replace(text, r"\n[^a-z0-9|]*\n", "|")
+    text = F.regexp_replace(F.translate(text, "\n", "~"), "[^a-z0-9|~]+", " ")
+    text = F.regexp_replace(text, r"[ ~]*\|[ ~|]*", "|")
+    return F.trim(F.regexp_replace(text, " ?~[ ~]*", "~"))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: the id, n_license_sentences, sentence_ids (``,`` joined, in order), license, licenses.
 
     ``license`` is that of the first rule that matches, null if none; ``licenses`` all that match, by rule order, joined
-    by ``|``. Null and empty texts have no sentences. Sentences end at a line end, or at ``.``, ``!`` or ``?`` before
-    white space. Other columns are ignored, and repeated rows give repeated results.
+    by ``|``. Null and empty texts have no sentences. Sentences begin and end at a line end, at a blank line, or at ``.``,
+    ``!`` or ``?`` before white space; known ones may go on over line ends, the longest of one beginning counting. Other
+    columns are ignored, and repeated rows give repeated results.
     """
-    ascii_low = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.split(F.regexp_replace(ascii_low, r"([.!?])[ \t\r\x0B\f]+", "$1\n"), "\n")
-    words = {w for s in SENTENCES.values() for w in (normal_form(s).split()[0],)}
-    # Only sentences that start like a known one are normalised in full.
-    likely = F.filter(lines, lambda x: x.rlike("^[^a-z0-9]*(" + "|".join(sorted(words)) + ")[^a-z0-9]"))
-    plain = F.transform(likely, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normal_form(s), i)])
-    found = docs.select(F.col(id_col), F.filter(F.transform(plain, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()).alias("ids"))
+    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.when(low.rlike(SIGNS), marked(low)).otherwise("")
+    sentences = "|".join(wrapped(s) for s in sorted(KNOWN.values(), key=lambda s: -len(normal_form(s))))
+    hits = F.regexp_extract_all(text, F.lit(f"(?<![^|~])({sentences})(?![^|~])"), F.lit(1))
+    known = F.create_map(*[F.lit(x) for i, s in KNOWN.items() for x in (normal_form(s), i)])
+    found = docs.select(F.col(id_col), F.transform(hits, lambda x: F.try_element_at(known, F.translate(x, "~|", "  "))).alias("ids"))
     found = found.withColumn("line", F.concat(F.lit(","), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(",")))
-    hits = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("line").rlike(pattern(ids)), F.lit(name)) for name, ids in RULES])))
+    hits = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("line").rlike(pattern(ids)), F.lit(name)) for name, ids in ALL_RULES])))
     found = found.withColumn("hits", hits)
     return found.select(
         id_col,
