@@ -48,10 +48,14 @@ def _(t):
     return vector.batch_search(t.embeddings, "embedding", queries, 5).withColumn("distance", F.round("distance", 4) + 0.0)
 
 
+#: The parameters of the index and its search in vec_ivf_topn.
+IVF, IVF_SEARCH = {"lists": 8}, {"n": 10, "probes": 6}
+
+
 @q("vec_ivf_topn")
 def _(t):
     ship(t.spark)
-    return vector.IvfIndex(t.embeddings, "embedding", lists=8).search(QUERY, 10, probes=4).select("vec_id", F.round("distance", 4).alias("distance"))
+    return vector.IvfIndex(t.embeddings, "embedding", **IVF).search(QUERY, **IVF_SEARCH).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
 q("vec_txt2vec")(lambda t: t.documents.select("doc_id", vector.hash_embedding(c("text"), 8).alias("embedding")))
