@@ -20,3 +20,15 @@ def test_ivf_recall_as_registered_and_by_default(spark, index, options):
         found = {x.vec_id for x in made.search(r.embedding, **options).collect()}
         hits, total = hits + len(exact & found), total + len(exact)
     assert hits / total >= 0.9
+
+
+def test_batch_search_has_every_query(spark):
+    import __spark_entry__ as entry
+
+    same(entry.queries()["vec_batch_topk_whole"](spark, SMALL), duck(SMALL).sql(entry.oracle_sql()["vec_batch_topk_whole"]))
+    e = table(spark, SMALL, "embeddings")
+    whole = vector.batch_join(e, "embedding", e.where("vec_id % 50 = 0"), 5, block=7).collect()
+    assert {r.query_id for r in whole} == {r.vec_id for r in e.where("vec_id % 50 = 0").collect()}
+    for q in e.where("vec_id % 50 = 0").limit(3).collect():
+        exact = [r.vec_id for r in vector.vector_search(e, "embedding", q.embedding, 5).collect()]
+        assert [r.vec_id for r in sorted(whole, key=lambda r: r["rank"]) if r.query_id == q.vec_id] == exact

@@ -97,6 +97,39 @@ def batch_search(df: DataFrame, column: str, queries: list[tuple[int, list[float
     return ranked.where(F.col("rank") <= n)
 
 
+def _packed(df: DataFrame, column: str, id_col: str, block: int, prefix: str) -> DataFrame:
+    """Rows with a vector in blocks of about ``block``, a row each."""
+    rows = df.where(F.col(column).isNotNull()).select(id_col, column)
+    parts = max(1, -(-rows.count() // block))
+    pairs = F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(column).alias("v")))
+    packed = rows.groupBy(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_part")).agg(pairs.alias("p"))
+    return packed.select(F.col("p.i").alias(f"{prefix}_id"), F.col("p.v").alias(f"{prefix}_v"))
+
+
+def batch_join(df: DataFrame, column: str, queries: DataFrame, n: int, metric: str = "L2", id_col: str = "vec_id", block: int = 1024) -> DataFrame:
+    """The n nearest rows of each row of ``queries`` (which has the same columns): (query_id, id, distance, rank).
+
+    Queries and rows are packed into blocks on executors; each pair of blocks is a matrix product that keeps n rows per
+    query, and only those are shuffled. No vector reaches the driver.
+    """
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, {id_col} {df.schema[id_col].dataType.simpleString()}, distance double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                qi, qv, xi, xv = (b.column(k)[r].values for k in range(4))
+                d = np.round(_distances(_matrix(qv), _matrix(xv), metric), 9)
+                k = min(n, d.shape[1])
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1]
+                i, j = np.nonzero(d <= edge[:, None])  # ties at the edge all go on
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(i)), xi.take(pa.array(j)), pa.array(d[i, j])], names=["query_id", id_col, "distance"])
+
+    pairs = _packed(queries, column, id_col, block, "q").crossJoin(_packed(df, column, id_col, block, "x"))
+    near = pairs.mapInArrow(run, schema)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col)))
+    return ranked.where(F.col("rank") <= n)
+
+
 class IvfIndex:
     """Inverted lists by nearest centroid (the IVF kinds). Centroids are fitted on at most ``sample`` rows; every row is indexed."""
 

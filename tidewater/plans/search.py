@@ -48,6 +48,12 @@ def _(t):
     return vector.batch_search(t.embeddings, "embedding", queries, 5).withColumn("distance", F.round("distance", 4) + 0.0)
 
 
+@q("vec_batch_topk_whole", f"WITH qs AS (SELECT vec_id AS query_id, {X} AS v FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip({X}, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 4) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(list_sum(list_transform(list_zip({X}, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), vec_id) AS rank FROM qs, embeddings) SELECT query_id, vec_id, distance, CAST(rank AS INT) AS rank FROM d WHERE rank <= 5")
+def _(t):
+    ship(t.spark)
+    return vector.batch_join(t.embeddings, "embedding", t.embeddings.where("vec_id % 50 = 0"), 5).withColumn("distance", F.round("distance", 4) + 0.0)
+
+
 #: The parameters of the index and its search in vec_ivf_topn.
 IVF, IVF_SEARCH = {"lists": 8}, {"n": 10, "probes": 6}
 
