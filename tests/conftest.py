@@ -4,9 +4,8 @@ import sys
 import pytest
 
 TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, TOP)
+sys.path[:0] = [TOP, os.path.join(TOP, "tests")]
 os.environ["PYTHONPATH"] = TOP + os.pathsep + os.environ.get("PYTHONPATH", "")
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import duck, same
-from conftest import SF
+from compare import SF
 
 from tidewater.plans import catalogue
 

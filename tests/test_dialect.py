@@ -1,7 +1,7 @@
 """SQL text of the dialect."""
 
 import pytest
-from conftest import SF
+from compare import SF
 
 from tidewater.plans.dialect import Dialect
 from tidewater.sources.tables import register, table

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import SF
+from compare import SF
 from pyspark.sql import functions as F
 
 from tidewater.operators import dml, hybrid, relational, sizes, statistics, text, vector

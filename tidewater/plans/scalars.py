@@ -60,4 +60,6 @@ q("array_constructor", "SELECT n_nationkey, array_to_string([n_nationkey, n_regi
 q("multiset_slice", "SELECT n_nationkey, array_to_string([n_name, lower(n_name)], ',') AS a FROM nation")(lambda t: t.nation.select("n_nationkey", F.array_join(collection.slice_first(F.array(F.struct("n_name"), F.struct(F.lower("n_name").alias("n_name"))), "n_name"), ",").alias("a")))
 q("map_item", "SELECT n_nationkey, n_name AS a, NULL::VARCHAR AS b FROM nation")(lambda t: t.nation.select("n_nationkey", collection.entry(F.create_map(F.lit("name"), c("n_name")), "name").alias("a"), collection.entry(F.create_map(F.lit("name"), c("n_name")), "other").alias("b")))
 q("json_extract", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda t: t.events.select("event_id", collection.json_extract(c("props"), "$.k").alias("k")))
-q("system_functions", "SELECT '5.7.41-tidewater' AS v, 'default' AS d, 0 AS ansi_off FROM region")(lambda t: t.region.select(system.version().alias("v"), system.database().alias("d"), (system.variable(t.spark, "spark.sql.caseSensitive").cast("int")).alias("ansi_off")))
+q("system_functions", "SELECT r_regionkey, '5.7.41-tidewater' AS v, 'default' AS d, 1 AS autocommit, 28800 AS wait_timeout, 0 AS case_sensitive, NULL::VARCHAR AS unknown FROM region")(
+    lambda t: t.region.select("r_regionkey", system.version().alias("v"), system.database().alias("d"), system.variable(t.spark, "autocommit").cast("int").alias("autocommit"), system.variable(t.spark, "session.wait_timeout").cast("int").alias("wait_timeout"), system.variable(t.spark, "spark.sql.caseSensitive").cast("int").alias("case_sensitive"), system.variable(t.spark, "no.such.name").cast("string").alias("unknown"))
+)
