@@ -87,7 +87,6 @@ def ids_of(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids + [end]
 
 

@@ -53,9 +53,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.lower, self.letters = self.tokenizer.model, lower, _byte_letters()
-        self.cache: dict[str, bytes] = {}
+        # Strings that the tokenizer takes out of a text before it splits it: texts with them are encoded whole.
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile(added, re.I if lower else 0) if added else None
+        self.cache = _Pieces(self)
         self.words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -109,24 +111,33 @@ class Encoder:
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        out, added, get = [], self.added, self.cache.__getitem__
         for text in texts:
-            cache = self.cache
-            parts = self.pieces(text) if text else []
-            new = set(parts).difference(cache)
-            if new:
-                if len(cache) + len(new) > CACHE_PIECES:
-                    cache.clear()
-                    new = set(parts)
-                for p in new:
-                    cache[p] = self.piece(p)
-            out.append(b"".join([cache[p] for p in parts]))
-            for p in new:
-                if len(p) > CACHE_LENGTH:
-                    del cache[p]
+            if not text:
+                out.append(b"")
+            elif added and added.search(text):
+                out.append(self.whole(text))
+            else:
+                out.append(b"".join(map(get, self.pieces(text))))
         return out
 
 
+class _Pieces(dict):
+    """Ids by piece; what isn't known is encoded, and kept if it is short."""
+
+    def __init__(self, codec: Encoder):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.codec.piece(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 def _packed(ids: list[int]) -> bytes:
     a = array("I", ids)
     if sys.byteorder == "big":
