@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import checkpoint, estimated_bytes, partitions
 from .textkernel import slices
 from .tokens import encoder
 
@@ -40,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, lower
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat)], names=["doc_id", "row_tag", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_tag"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(files or partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_tag")
+    rows = rows.repartitionByRange(files or partitions(docs.sparkSession, estimated_bytes(docs)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_tag")
     coded = rows.mapInArrow(run, f"doc_id {kind}, row_tag long, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(stripe_mb << 20), "compression": "zstd"}
     coded.write.options(**options).orc(path)
@@ -48,14 +48,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, lower
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the files; filters on doc_id prune files, stripes and row groups by statistics and Bloom filters."""
-    return spark.read.schema("doc_id long, row_tag long, ids array<int>").orc(path)
+    """The rows of the files, ids of documents in their own type; filters on doc_id prune files, stripes and row groups by
+    statistics and Bloom filters."""
+    return spark.read.orc(path)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
 
-    Starts are a prefix sum in two levels, over files and within each file, so no task sees all documents.
+    Starts are a prefix sum in two levels, over files and within each file, so no task sees all documents. The files are
+    read once; what is left of each row, some integers, goes through the shared folder.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +69,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], names=["file", "doc_id", "row_tag", "n_tokens", "ids_crc32"])
 
     rows = read_tokens(spark, path).select(F.input_file_name().alias("file"), "doc_id", "row_tag", "ids")
-    rows = rows.mapInArrow(digest, "file string, doc_id long, row_tag long, n_tokens long, ids_crc32 long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = checkpoint(rows.mapInArrow(digest, f"file string, doc_id {kind}, row_tag long, n_tokens long, ids_crc32 long"))
     order = [F.col("doc_id").asc_nulls_first(), "row_tag"]
     files = rows.groupBy("file").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "row_tag")).alias("least"), F.sum("n_tokens").alias("n"))
     files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
