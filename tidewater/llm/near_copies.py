@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .blocks import Forest, pieces, streamed
 from .components import components
 from .shared import checkpoint
-from .textkernel import HASH_A, HASH_B, Texts, mix, signed, slices, windows
+from .textkernel import HASH_B, Items, Texts, mix, signed, slices, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -38,7 +38,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     """
     t = Texts(column)
     starts, ends, at = t.words()
-    words = HASH_A.ranges(_LOWER[t.data], starts, ends)
+    words = Items(_LOWER[t.data], starts).hashes(ends)
     n = np.diff(at)
     where, hashes = windows(words, at, shingle, HASH_B)
     short = np.flatnonzero((n > 0) & (n < shingle))

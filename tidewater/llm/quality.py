@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import SPACE, HASH_A, HASH_B, Texts, covered, mix, row_of, slices, windows
+from .textkernel import HASH_B, SPACE, Items, Texts, covered, mix, row_of, slices, windows
 
 #: The rules, by bit: what a failing document has.
 RULES = {
@@ -69,8 +69,8 @@ def measure(column: pa.Array, window: int = 5) -> dict[str, np.ndarray]:
     np.cumsum(~SPACE[t.data], out=spaces[1:])
     full = spaces[line_ends] > spaces[lines] if len(lines) else np.zeros(0, dtype=bool)
     rows = row_of(line_at)[full]
-    again = _again(HASH_A.ranges(t.data, lines[full], line_ends[full]) ^ mix(rows.astype(np.uint64)))
-    words = HASH_A.ranges(t.data, starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+    again = _again(Items(t.data, lines).hashes(line_ends)[full] ^ mix(rows.astype(np.uint64)))
+    words = Items(t.data, starts).hashes(ends)
     where, seen = windows(words, at, window, HASH_B)
     word_row = row_of(at)
     twice = _twice(seen ^ mix(word_row[where].astype(np.uint64))) if len(where) else np.zeros(0, dtype=bool)

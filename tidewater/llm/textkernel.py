@@ -1,8 +1,9 @@
 """Vectorised word, line and window kernels over the UTF-8 bytes of Arrow string columns.
 
-Texts stay in their Arrow buffers: words are found with a byte class table, and every word, line or window of words
-gets a 64-bit polynomial hash from one prefix sum, so no Python object is made per word. A kernel call works on a
-slice of rows with at most ``SLICE_BYTES`` of text (a longer text is a slice of its own), which bounds memory.
+Texts stay in their Arrow buffers: words are found with a byte class table, and every word or line gets a 64-bit hash,
+the sum of a random number for each byte at its place; windows of words get polynomial hashes of the words'. Both come
+from one prefix sum, so no Python object is made per word. A kernel call works on a slice of rows with at most
+``SLICE_BYTES`` of text (a longer text is a slice of its own), which bounds memory.
 """
 
 from __future__ import annotations
@@ -29,13 +30,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Places in an item whose random numbers are looked up.
+PLACES = 512
+_TABLE = mix(np.arange(PLACES << 8, dtype=np.uint64) + _U(0x9E3779B97F4A7C15))
+
+
+class Items:
+    """Hashes of items (words, lines) that begin at ``starts`` and don't overlap: of each, or of beginnings of each."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        self.starts = starts
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        if len(starts):
+            begin = int(starts[0])
+            place = np.arange(begin, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+            at = (place << 8) | data[begin:]
+            number = _TABLE[np.minimum(at, len(_TABLE) - 1)]
+            far = np.flatnonzero(place >= PLACES)
+            if len(far):
+                number[far] = mix(at[far].astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+            np.cumsum(number, out=self.sums[begin + 1 :])
+
+    def hashes(self, ends: np.ndarray) -> np.ndarray:
+        return mix(self.sums[ends] - self.sums[self.starts] + mix((ends - self.starts).astype(np.uint64)))
+
+
 class Polynomial:
-    """Prefix-sum polynomial hashing modulo 2**64 with an odd base; ranges of a sequence hash in constant time."""
+    """Prefix-sum polynomial hashing of 64-bit hashes, modulo 2**64 with an odd base; ranges hash in constant time.
+
+    For short windows (some dozens of hashes): long sequences of a certain regular form have equal hashes in any base."""
 
     def __init__(self, seed: int):
         self.base = int(mix(np.array([seed], dtype=np.uint64))[0]) | 1
         self.back = pow(self.base, -1, 1 << 64)
-        self.table = mix(np.arange(256, dtype=np.uint64) + _U(seed * 1000 + 1))
         self.seed = seed
         self._up = self._down = np.ones(1, dtype=np.uint64)
 
@@ -52,11 +79,10 @@ class Polynomial:
         return self._up, self._down
 
     def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[start:end] for each pair; values are bytes (through the table) or 64-bit hashes."""
+        """Hash of values[start:end] for each pair."""
         up, down = self._powers(len(values) + 1)
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        raw = self.table[values] if values.dtype == np.uint8 else values
-        np.cumsum(raw * up[: len(values)], out=sums[1:])
+        np.cumsum(values * up[: len(values)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(self.seed * 2 + 1))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bundles import pieces_of
-from .textkernel import HASH_A, SLICE_BYTES, Texts, mix, row_of, slices
+from .textkernel import SLICE_BYTES, Items, Texts, mix, row_of, slices
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -45,13 +45,9 @@ class Model:
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Starts, ends, row offsets, and for each kind of feature the tokens' hashes (0: none)."""
     starts, ends, at = t.runs(_LETTER)
-    low = _LOWER[t.data]
-    kinds = []
+    items, kinds = Items(_LOWER[t.data], starts), []
     for i, n in enumerate((None, *PREFIXES)):
-        if not len(starts):
-            kinds.append(np.zeros(0, dtype=np.uint64))
-            continue
-        h = mix(HASH_A.ranges(low, starts, ends if n is None else np.minimum(ends, starts + n)) + np.uint64(i))
+        h = mix(items.hashes(ends if n is None else np.minimum(ends, starts + n)) + np.uint64(i))
         kinds.append(h if n is None else np.where(ends - starts > n, h, np.uint64(0)))
     return starts, ends, at, kinds
 
