@@ -1,6 +1,6 @@
 """Rows dealt into bundles of about a megabyte of text, which passes over the corpus can come back to.
 
-A bundle is the rows whose id has one hash; within it rows stand in the order of id and text hash. Every pass sees the
+A bundle is the rows whose id and text have one hash; within it rows stand in the order of id and text hash. Every pass sees the
 same bundle in the same order, so a row and a place in it are named by two integers, and what a pass over other data has
 found about them returns by the bundle's number, without the texts moving again: a plan that reads the bundles several
 times shuffles the texts once, since Spark reuses the exchange.
@@ -24,15 +24,14 @@ class Bundles:
         spark = docs.sparkSession
         self.id, self.text, self.columns = id_col, text_col, docs.columns
         self.bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        self.parts = partitions(spark)
+        self.parts = partitions(spark, self.bytes, 64 << 20)
         self.n = int(max(self.parts, -(-self.bytes // size)))
         tag = F.xxhash64(text_col)
-        number = F.when(F.col(id_col).isNull(), F.pmod(tag, F.lit(self.n))).otherwise(self.number(F.col(id_col)))
-        self.rows = docs.withColumns({"_tag": tag, "_bundle": number.cast("int")}).repartition(self.parts, "_bundle")
+        self.rows = docs.withColumns({"_tag": tag, "_bundle": self.number(F.col(id_col), tag)}).repartition(self.parts, "_bundle")
 
-    def number(self, id_: Column) -> Column:
-        """The bundle of a row with an id."""
-        return F.pmod(F.xxhash64(id_), F.lit(self.n)).cast("int")
+    def number(self, id_: Column, tag: Column) -> Column:
+        """The bundle of a row with an id and the hash of a text."""
+        return F.pmod(F.xxhash64(id_, tag), F.lit(self.n)).cast("int")
 
     def apply(self, work, schema: str) -> DataFrame:
         """work(bundle number, table in order) for each bundle."""
