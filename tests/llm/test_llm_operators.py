@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import license_scan, mixing, packing, quality, toxicity
 from tidewater.llm.exact_dedup import exact_dedup
-from tidewater.llm.line_dedup import SHORT, line_dedup, within
+from tidewater.llm.line_dedup import keys, line_dedup, reach, within
 from tidewater.llm.queries import vocabulary
 from tidewater.llm.shared import shared_path
 from tidewater.llm.simhash import linked, links, simhash_groups
@@ -362,11 +362,41 @@ def test_banded_distance():
             assert within(a, b, radius) == (distance(a, b) <= radius), (a, b, radius)
 
 
-def test_line_dedup(spark, none):
+def test_lines_in_reach_share_a_key():
+    r = random.Random(6)
+    for _ in range(1500):
+        a = [r.choice("abé") for _ in range(r.randint(8, 45))]
+        b = list(a)
+        for _ in range(r.randint(1, 2)):
+            k, at = r.randint(0, 2), r.randrange(len(b))
+            b[at : at + 1] = [r.choice("abé"), b[at]] if k == 0 else [] if k == 1 else [r.choice("abé")]
+        a, b = sorted(("".join(a), "".join(b)), key=len)
+        if a != b and distance(a, b) <= reach(len(a)):
+            assert {k for k, own in keys(a, 2) if own} & {k for k, _ in keys(b, 2)}, (a, b)
+
+
+def test_lines_of_templates(spark):
+    """Groups that hold one template, a counter of few digits, or a mixture."""
+    r = random.Random(9)
+    lines = [f"user {r.randrange(10**7)} has opened door number {r.randrange(10**3)} of the house" for _ in range(150)]
+    lines += [f"page {i:03d} of the whole book" for i in range(0, 1000, 23)] + [f"aaaaaaaaaa{'ab' * (i % 7)}{i % 5}aaaaaaaaaa" for i in range(60)]
+    lines += [x[:9] + "7" + x[10:] for x in lines[:40]] + [x.replace("opened", "open") for x in lines[:30]]
+    known = sorted(set(lines))
+    root = roots(len(known), [(i, j) for i, a in enumerate(known) for j, b in enumerate(known[:i]) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= reach(min(len(a), len(b)))])
+    where, seen, want = dict(zip(known, root)), set(), {}
+    for i in range(0, len(lines), 20):
+        want[i] = "\n".join(x for x in lines[i : i + 20] if not (where[x] in seen or seen.add(where[x])))
+    docs = spark.createDataFrame([(str(i).zfill(4), "\n".join(lines[i : i + 20])) for i in want], "doc_id string, text string")
+    for most in (1024, 16, 2):
+        assert {int(x.doc_id): x.text for x in line_dedup(docs, most=most).collect()} == want
+
+
+@pytest.mark.parametrize("most", [1024, 3])  # the second splits nearly all groups again
+def test_line_dedup(spark, none, most):
     r = random.Random(1)
     lines = []
     for _ in range(100):
-        base = "".join(r.choice("abcde é") for _ in range(r.randint(15, 60)))
+        base = "".join(r.choice("abcde é") for _ in range(r.randint(4, 60)))
         for _ in range(r.randint(1, 4)):
             b = list(base)
             for _ in range(r.randint(0, 3)):
@@ -375,7 +405,7 @@ def test_line_dedup(spark, none):
             lines.append("".join(b))
     rows = [(i if i != 7 else None, "\n".join(r.choice([*lines, "", " "]) for _ in range(r.randint(0, 12))) if i != 3 else None) for i in range(70)]
     known = sorted({v for _, x in rows if x for v in x.split("\n") if v.strip(" \t\n\v\f\r")})
-    root = roots(len(known), [(i, j) for i, a in enumerate(known) for j, b in enumerate(known[:i]) if min(len(a), len(b)) >= SHORT and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2])
+    root = roots(len(known), [(i, j) for i, a in enumerate(known) for j, b in enumerate(known[:i]) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= reach(min(len(a), len(b)))])
     where, seen, want = dict(zip(known, root)), set(), []
     for i, x in sorted(rows, key=lambda d: (d[0] is None, d[0] or 0)):
         kept, n, m = [], 0, 0
@@ -389,7 +419,7 @@ def test_line_dedup(spark, none):
             kept.append(v)
         want.append((i, None if x is None else "\n".join(kept), n, m))
     full = frame(spark, [(i, x, "en", "s", 1, "b", "t", "i", "h", "s", "k") for i, x in rows])
-    got = line_dedup(full)
+    got = line_dedup(full, most=most)
     assert got.columns == [*(f.split()[0] for f in SCHEMA.split(", ")), "n_lines", "n_removed"]
     assert counted((r_.doc_id, r_.text, r_.n_lines, r_.n_removed) for r_ in got.collect()) == counted(want)
     assert line_dedup(none).count() == 0
