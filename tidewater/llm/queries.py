@@ -44,7 +44,7 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +100,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 OP5_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS c FROM documents),
-k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
-SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k"""
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY c DESC, doc_id NULLS LAST) AS place FROM n)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM k"""
 
 OP7_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
