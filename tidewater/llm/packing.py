@@ -1,17 +1,19 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
-Each task packs the documents that it reads: no shuffle. Whole windows of a long document are sequences at once; the
-rests are gathered in groups, and a group's rests are divided over its windows by multiway differencing: partial
-partitions, each with a part for every window, start with one rest each; the two with the largest spreads are merged
-with the largest parts of one on the smallest of the other, until one partition with near-equal windows is left. What
-stands over a window's capacity is cut off and laid into windows with room; what no window of the group can take raises
-the window count: it goes on to the next group, and at a task's end into one more window, the only one with padding.
+Each task packs the documents that it reads: no shuffle. The documents that fit a window are gathered in groups and stay
+whole. A group is divided over as few windows as its tokens need by multiway differencing: partial partitions, each with
+a part for every window, start with one document each; the two with the largest spreads are merged with the largest
+parts of one on the smallest of the other, until one partition with near-equal windows is left. While windows are over
+capacity their count rises by one, and their documents are divided again. Only documents longer than a window are cut: pieces of them fill
+the room that is left, and what remains makes full windows. Windows that still have room wait for the next group with
+their documents, the better half of a group's excepted, and go out at the task's end.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .textkernel import slices
 from .tokens import encoder
 
+#: The room of a window, as a share, that is padded at once; windows' worth of long documents that wait to fill room.
+SLACK, RESERVE = 0.01, 16
 SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -61,44 +65,60 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return items + [[] for _ in range(k - len(items))]
 
 
-def pack_group(rests: list[tuple[int, int, int]], size: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Windows of (document, start, length), and what is left for the next group (nothing if ``last``)."""
-    total = sum(r[2] for r in rests)
-    k = total // size
-    if not k:
-        return ([rests] if last and rests else []), ([] if last else rests)
-    windows, over = [], []
-    for items in differencing([r[2] for r in rests], k):
-        window, room = [], size
-        for doc, start, length in sorted((rests[i] for i in items), key=lambda r: -r[2]):
-            take = min(length, room)
-            if take:
-                window.append((doc, start, take))
-                room -= take
-            if take < length:
-                over.append((doc, start + take, length - take))
-        windows.append([window, room])
-    for w in windows:
-        while w[1] and over:
-            doc, start, length = over.pop()
-            take = min(length, w[1])
-            w[0].append((doc, start, take))
-            w[1] -= take
-            if take < length:
-                over.append((doc, start + take, length - take))
-    full = [w[0] for w in windows]
-    if last and over:
-        full.append(over)
-        over = []
-    return full, over
-
-
-def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 2048, lower: bool = False, group: int = 512, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def whole_windows(sizes: list[int], size: int) -> list[list[int]]:
+    """Item numbers of windows of at most ``size``: the fewest to begin with; those that are over are divided again over one more."""
+    out, items, k = [], list(range(len(sizes))), -(-sum(sizes) // size)
+    while items:
+        parts = [[items[i] for i in p] for p in differencing([sizes[i] for i in items], k)]
+        over = [p for p in parts if sum(sizes[i] for i in p) > size]
+        out += [p for p in parts if p and sum(sizes[i] for i in p) <= size]
+        items, k = sorted(i for p in over for i in p), len(over) + 1
+    return out
+
+
+def pack_group(short: list[tuple[int, int]], long: deque, size: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
+    """Windows of (document, start, length), and the short documents left for the next group (none if ``last``).
+
+    ``short``: (document, length); ``long``: (document, start, length) of what is left of long documents, taken from its front."""
+    reserve = sum(x[2] for x in long)
+
+    def take(room: int) -> list[tuple[int, int, int]]:
+        nonlocal reserve
+        out = []
+        while room and long:
+            doc, start, length = long.popleft()
+            n = min(length, room)
+            out.append((doc, start, n))
+            if n < length:
+                long.appendleft((doc, start + n, length - n))
+            room, reserve = room - n, reserve - n
+        return out
+
+    windows = []
+    for part in whole_windows([n for _, n in short], size):
+        window = [(short[i][0], 0, short[i][1]) for i in part]
+        windows.append((size - sum(x[2] for x in window), window))
+    windows.sort(key=lambda w: w[0])
+    full, left = [], []
+    for i, (room, window) in enumerate(windows):
+        if not last and room > reserve and room > size * SLACK and 2 * i >= len(windows):
+            left += [(doc, n) for doc, _, n in window]
+        else:
+            full.append(window + take(room))
+    while reserve >= (size if last else size * (RESERVE + 1)):
+        full.append(take(size))
+    if last and reserve:
+        full.append(take(size))
+    return full, left
+
+
+def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 2048, lower: bool = False, group: int = 128, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A document is its whole text's ids and the end id; null and empty texts are the end id alone. Every id lies in one
-    piece. Repeated rows are packed each by itself; an empty table has no pieces. Other columns are ignored. Sequence
-    numbers are unique: the task's number times 2**32, and a count. Memory holds one group of rests and one slice.
+    piece, and a document of at most ``size`` ids is one piece. Repeated rows are packed each by itself; an empty table
+    has no pieces. Other columns are ignored. Sequence numbers are unique: the task's number times 2**32, and a count.
+    Memory holds one group of documents, what waits of long ones, and one slice.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
@@ -106,25 +126,24 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 2048, lower:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, sequence = encoder(vocabulary, lower), TaskContext.get().partitionId() << 32
-        known: dict[int, tuple] = {}  # document number: its id, its tokens, where its rest begins, the rest's ids
-        rests: list[tuple[int, int, int]] = []
+        known: dict[int, tuple] = {}  # document number: its id, its ids
+        short: list[tuple[int, int]] = []
+        long: deque = deque()
         out: list[tuple] = []
         n = 0
 
-        def emit(doc, start, length, total, at, ids):
-            out.append((doc, start, length, zlib.crc32(ids), total, sequence, at, *([ids] if with_ids else [])))
-
         def flush(last: bool):
-            nonlocal rests, sequence
-            full, rests = pack_group(rests, size, last)
+            nonlocal short, sequence
+            full, short = pack_group(short, long, size, last)
             for window in full:
                 at = 0
                 for i, start, length in window:
-                    doc, total, base, ids = known[i]
-                    emit(doc, base + start, length, total, at, ids[4 * start : 4 * (start + length)])
+                    doc, ids = known[i]
+                    piece = ids[4 * start : 4 * (start + length)]
+                    out.append((doc, start, length, zlib.crc32(piece), len(ids) // 4, sequence, at, *([piece] if with_ids else [])))
                     at += length
                 sequence += 1
-            left = {r[0] for r in rests}
+            left = {x[0] for x in short} | {x[0] for x in long}
             for i in [i for i in known if i not in left]:
                 del known[i]
 
@@ -139,19 +158,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 2048, lower:
             for doc, ids in zip(b.column(0).to_pylist(), code.encode([t or "" for t in b.column(1).to_pylist()])):
                 ids += end
                 total = len(ids) // 4
-                whole = total // size * size
-                for start in range(0, whole, size):
-                    emit(doc, start, size, total, 0, ids[4 * start : 4 * (start + size)])
-                    sequence += 1
-                if whole < total:
-                    known[n] = doc, total, whole, ids[4 * whole :]
-                    rests.append((n, 0, total - whole))
-                    n += 1
-                    if len(rests) >= group:
-                        flush(False)
+                known[n] = doc, ids
+                if total > size:
+                    long.append((n, 0, total))
+                else:
+                    short.append((n, total))
+                n += 1
+                if len(short) >= group or sum(x[2] for x in long) > 4 * RESERVE * size:
+                    flush(False)
             if out:
                 yield table()
-        if rests:
+        if short or long:
             flush(True)
             yield table()
 
