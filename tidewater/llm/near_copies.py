@@ -1,9 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands only bring candidates together.
-
-A text's set is the hashes of its shingles. Sets of similarity s share a given band of ``ROWS`` minima with probability
-s ** ROWS, so of pairs at the threshold 0.8 one in 300,000 shares none of ``BANDS`` bands. Sets that share bands, in
-chains, form a bundle; a text travels once, to its bundle, where the sets are made again and pairs that share a band are
-compared in full. What links join after that are the near copies.
+"""SimHash near copies at a wide radius: for texts of a given similarity of word shingles, verified by exact Jaccard.
+
+At the threshold 0.8 two texts' fingerprints differ in 10 bits on average and in over 22 with a chance of one in 10,000,
+too many for groups by pairs of the fingerprint's bands. So the groups come from the least shingle hashes: sets of
+similarity s share a given band of ``ROWS`` minima with probability s ** ROWS, and of pairs at 0.8 one in 300,000 shares
+none of ``BANDS`` bands. Sets that share bands, in chains, form a bundle; a text travels once, to its bundle, where the
+sets and fingerprints are made again. The fingerprints of a band's group are compared bit-sliced, with carry-save
+counters, and the sets of those within the radius in full. What links join after that are the near copies.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 from .blocks import Forest, pieces, streamed
 from .components import components
 from .shared import checkpoint
+from .simhash import near_lanes
 from .textkernel import HASH_B, Items, Texts, mix, signed, slices, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS, RADIUS = 24, 4, 22
 #: Texts of a bundle that are compared in one piece.
 MOST = 1024
 
@@ -79,27 +82,37 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def linked(sets: list[np.ndarray], keys: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Spanning links between sets that share a band key and are similar."""
+def set_prints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of the sets: the majority of each bit; zero for the empty one."""
+    out = np.zeros(len(offsets) - 1, dtype=np.uint64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.int64)
+        out[some] = np.packbits(2 * ones > np.diff(offsets)[some, None], axis=1).reshape(-1).view(">u8")
+    return out
+
+
+def linked(sets: list[np.ndarray], prints: np.ndarray, keys: np.ndarray, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Spanning links between sets that share a band key, have fingerprints within the radius, and are similar."""
     forest, size = Forest(len(sets)), np.array([len(s) for s in sets])
     tried: set[tuple[int, int]] = set()
     for band in keys.T:
         order = np.argsort(band, kind="stable")
-        edges = np.flatnonzero(np.append(True, band[order][1:] != band[order][:-1]))
-        for begin, end in zip(edges, [*edges[1:], len(order)]):
-            run = order[begin:end]
-            for k, i in enumerate(run[:-1].tolist()):
-                rest = run[k + 1 :]
-                small, large = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-                for j in rest[(forest.label[rest] != forest.label[i]) & (small >= similarity * large)].tolist():
-                    pair = (i, j) if i < j else (j, i)
-                    if pair in tried or forest.label[i] == forest.label[j]:
-                        continue
-                    tried.add(pair)
-                    if jaccard(sets[i], sets[j]) >= similarity:
-                        forest.add(np.array([i]), np.array([j]))
-                if len(forest.links) == len(sets) - 1:
-                    return forest.links
+        new = np.append(True, band[order][1:] != band[order][:-1])
+        group, widest = np.cumsum(new), int(np.diff(np.append(np.flatnonzero(new), len(order))).max(initial=1))
+        for x, y in near_lanes(prints[order], group, widest, radius):
+            x, y = order[x], order[y]
+            ok = (forest.label[x] != forest.label[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+            for i, j in zip(x[ok].tolist(), y[ok].tolist()):
+                pair = (i, j) if i < j else (j, i)
+                if pair in tried or forest.label[i] == forest.label[j]:
+                    continue
+                tried.add(pair)
+                if jaccard(sets[i], sets[j]) >= similarity:
+                    forest.add(np.array([i]), np.array([j]))
+            if len(forest.links) == len(sets) - 1:
+                return forest.links
     return forest.links
 
 
@@ -131,7 +144,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 # An id may have several texts; the one that was named stays.
                 own = np.flatnonzero(names(hashes, of) == node[begin:end])
                 key = keys.slice(begin, end - begin).flatten().to_numpy(zero_copy_only=False).reshape(end - begin, -1)[own]
-                for i, j in linked([hashes[of[r] : of[r + 1]] for r in own.tolist()], key, similarity):
+                for i, j in linked([hashes[of[r] : of[r + 1]] for r in own.tolist()], set_prints(hashes, of)[own], key, similarity):
                     out.append((int(node[begin + own[i]]), int(node[begin + own[j]])))
             if out:
                 a, c = np.array(out, dtype=np.int64).T

@@ -3,8 +3,8 @@
 A fingerprint bit is the majority of that bit over the hashes of a text's shingles. Fingerprints within ``radius`` bits
 agree on at least two of radius + 2 bands, so they meet in a group keyed by a pair of bands. Inside a group the
 fingerprints are stored vertically, as 64 bit planes; for each distance in the sorted group the planes are compared with
-themselves shifted, the differing bits of all pairs at once are added into carry-save counters of three bit planes, and
-the comparison of a block is abandoned once every pair in it is over the radius.
+themselves shifted, the differing bits of all pairs at once are added into carry-save counters of bit planes, and words of
+64 pairs are abandoned once every pair in them is over the radius.
 """
 
 from __future__ import annotations
@@ -70,25 +70,46 @@ def planes(prints: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(sliced: np.ndarray, n: int, step: int, allowed: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Lanes i for which i and i + step are allowed and differ in at most ``radius`` (under 4) bits."""
+    """Lanes i for which i and i + step are allowed and differ in at most ``radius`` bits."""
     words, bits = divmod(step, 64)
     count = (n - step + 63) // 64
     low = sliced[:, words : words + count]
     if bits:
         low = (low >> np.uint64(bits)) | (sliced[:, words + 1 : words + 1 + count] << np.uint64(64 - bits))
     differ = sliced[:, :count] ^ low
-    one, two, over = (np.zeros(count, dtype=np.uint64) for _ in range(3))
-    live = allowed
-    for b in range(64):  # add a bit to each pair's counter of two planes; what is carried out of it is over
-        carry = one & differ[b]
-        one ^= differ[b]
-        over |= two & carry
-        two ^= carry
-        if b % 8 == 7 and not (live & ~over).any():
-            return np.zeros(0, dtype=np.int64)
-    if radius < 3:
-        over |= two & one if radius == 2 else two if radius == 1 else two | one
-    return np.flatnonzero(np.unpackbits((live & ~over).view(np.uint8), bitorder="little", count=n - step))
+    # The counters hold as many bit planes as radius + 1 takes, and start so that the one after ``radius`` carries out of them.
+    size = (radius + 1).bit_length()
+    start = (1 << size) - 1 - radius
+    plane = [np.full(count, 0xFFFFFFFFFFFFFFFF if start >> k & 1 else 0, dtype=np.uint64) for k in range(size)]
+    over, at = np.zeros(count, dtype=np.uint64), np.arange(count)
+    for b in range(64):
+        carry = differ[b]
+        for k in range(size):
+            plane[k], carry = plane[k] ^ carry, plane[k] & carry
+        over |= carry
+        if b % 8 == 7:  # words of 64 lanes that are all over are left
+            live = np.flatnonzero(allowed[at] & ~over)
+            if not len(live):
+                return live
+            if 2 * len(live) <= len(at):
+                at, over, differ, plane = at[live], over[live], differ[:, live], [x[live] for x in plane]
+    found = np.zeros(count, dtype=np.uint64)
+    found[at] = allowed[at] & ~over
+    return np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little", count=n - step))
+
+
+def near_lanes(prints: np.ndarray, group: np.ndarray, widest: int, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the close fingerprints within runs of one group, distance by distance; ``widest``: the rows of the largest run."""
+    n, sliced = len(prints), planes(prints)
+    for step in range(1, widest):
+        same = group[:-step] == group[step:]
+        if not same.any():
+            break
+        room = np.zeros(-(-(n - step) // 64) * 64, dtype=np.uint8)
+        room[: n - step] = same
+        hit = close_pairs(sliced, n, step, np.packbits(room, bitorder="little").view("<u8"), radius)
+        if len(hit):
+            yield hit, hit + step
 
 
 def linked(prints: np.ndarray, offsets: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -97,20 +118,11 @@ def linked(prints: np.ndarray, offsets: np.ndarray, radius: int = RADIUS) -> lis
     sizes = np.diff(offsets)
 
     def block(who: np.ndarray, group: np.ndarray, widest: int):
-        n, forest, sliced = len(who), Forest(len(who)), planes(prints[who])
-        last = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
-        trees = len(last)
-        for step in range(1, widest):
-            same = group[:-step] == group[step:]
-            if not same.any():
+        forest, trees = Forest(len(who)), int((group[1:] != group[:-1]).sum()) + 1
+        for i, j in near_lanes(prints[who], group, widest, radius):
+            forest.add(i, j)
+            if len(forest.links) == len(who) - trees:  # each group is one tree already
                 break
-            room = np.zeros(-(-(n - step) // 64) * 64, dtype=np.uint8)
-            room[: n - step] = same
-            hit = close_pairs(sliced, n, step, np.packbits(room, bitorder="little").view("<u8"), radius)
-            if len(hit):
-                forest.add(hit, hit + step)
-                if len(forest.links) == n - trees:  # each group is one tree already
-                    break
         out.extend((int(who[i]), int(who[j])) for i, j in forest.links)
 
     groups = np.repeat(np.arange(len(sizes)), sizes)
