@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, checkpoint
 
 #: Size classes per doubling of the size, and hash buckets in each class of a source.
 CLASSES, BUCKETS = 64, 64
@@ -39,7 +39,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null texts have size 0; a null source is a source of its own. Repeated rows are sampled each by itself. Every row
     of the input is in the result, with 0 copies if it isn't taken; the same input gives the same copies. Columns whose
-    names begin with mix_ are replaced.
+    names begin with mix_ are replaced. The texts are read twice: for the counts, which go through the shared folder, and
+    for the ranks.
     """
     own = [c for c in docs.columns if not c.lower().startswith("mix_")]
     docs = docs.select(*own)
@@ -47,7 +48,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.withColumns({"mix_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), "mix_key": key, "mix_tie": F.xxhash64(text_col)})
     sized = sized.withColumns({"mix_class": F.floor(F.log2(F.col("mix_size") + 1) * CLASSES).cast("int"), "mix_bucket": F.pmod(F.xxhash64(F.col(id_col), "mix_tie"), F.lit(BUCKETS)).cast("int")})
     place = ["mix_key", "mix_class", "mix_bucket"]
-    counts = sized.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words"), F.first(source_col).alias("source"))
+    counts = checkpoint(sized.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words"), F.first(source_col).alias("source")))
     along = Window.partitionBy("mix_key").orderBy("mix_class", "mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*place, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("mix_start"))
     targets = source_targets(counts.groupBy("mix_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).drop("mix_key"), weights, share, cap)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bundles import pieces_of
@@ -274,13 +274,21 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, most_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on a bounded sample: ``most_docs`` labelled, not held-out documents in the order of a hash of their ids, whole
-    texts of ``most_bytes`` at most. Rows without an id or a 0/1 label are passed over."""
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits on a bounded sample of labelled, not held-out documents, in the order of a hash of their ids: ``most_docs`` rows
+    at most, whole texts, up to the one that reaches ``most_bytes`` in all. Rows without an id or a 0/1 label are passed
+    over; rows that repeat an id are rows of their own, rows that repeat a text too are one. The rows' order is fixed, so
+    the same tables give the same model."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
     some = known.orderBy(F.xxhash64("id"), "id").limit(most_docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= most_bytes)
-    got = rows.join(F.broadcast(some), "id").select("text", F.col("toxic").cast("long").alias("toxic")).toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    order = ["rank", "id", "tag"]
+    found = rows.join(F.broadcast(some), "id").select(F.xxhash64("id").alias("rank"), "id", F.xxhash64("text").alias("tag"), F.octet_length("text").cast("long").alias("size"), "toxic")
+    found = found.distinct().orderBy(*order).limit(most_docs)
+    before = F.coalesce(F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = found.withColumn("before", before).where(F.col("before") < most_bytes).select("id", "tag", "rank", F.col("toxic").cast("long").alias("toxic"))
+    got = rows.withColumn("tag", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "tag"]).groupBy(*order, "toxic").agg(F.first("text").alias("text")).toArrow()
+    got = got.sort_by([(c, "ascending") for c in order])
     texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks)
