@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from fixtures import documents, frame
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -40,12 +41,107 @@ def test_each_stage_has_effect(stages):
     assert all(tokens[d] == copies[d] * whole[d] for d in copies)
 
 
-def test_near_copies_leave_one_of_each_group(spark, stages):
-    from tidewater.llm.simhash import simhash_groups
+def test_lines_are_those_of_the_operator(spark, stages):
+    """No line that stays is in reach of an earlier one that stays, and lines that go have one: by a plain scan of lines of like length."""
+    from tidewater.llm.line_dedup import reach, within
 
-    left = simhash_groups(stages[3])
-    groups = simhash_groups(stages[2]).groupBy("component_id").agg(F.count("*").alias("n"))
-    assert left.count() == groups.count()
+    docs = sorted(stages[1].collect(), key=lambda r: r.doc_id)
+    kept = {r.doc_id: r.text for r in stages[2].collect()}
+    first, order = {}, []
+    for r in docs:
+        for line in (r.text or "").split("\n"):
+            if line.strip(" \t\n\v\f\r") and line not in first:
+                first[line] = r.doc_id
+                order.append(line)
+    root = {x: x for x in order}
+    by = collections.defaultdict(list)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in order:
+        for n in range(len(x) - 2, len(x) + 3):
+            for y in by[n]:
+                if abs(len(x) - len(y)) <= reach(min(len(x), len(y))) and close(x, y) and within(x, y, reach(min(len(x), len(y)))):
+                    a, b = find(x), find(y)
+                    root[max(a, b, key=order.index)] = min(a, b, key=order.index)
+        by[len(x)].append(x)
+    seen = set()
+    for r in docs:
+        out = []
+        for line in (r.text or "").split("\n"):
+            if line.strip(" \t\n\v\f\r"):
+                if find(line) in seen:
+                    continue
+                seen.add(find(line))
+            out.append(line)
+        assert kept[r.doc_id] == (None if r.text is None else "\n".join(out))
+
+
+def close(x, y):
+    """Of two edits at most one is before the middle third of the shorter line, in it, or behind it, so one third is there unchanged, or nearly in place."""
+    n = min(len(x), len(y)) // 3
+    return n < 4 or x[:n] == y[:n] or x[-n:] == y[-n:] or any(x[n : 2 * n - 1] in z for z in (y[n - 2 : 2 * n + 2],))
+
+
+def test_near_copies_leave_one_of_each_group(stages):
+    def shingles(text):
+        w = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    docs = sorted(stages[2].collect(), key=lambda r: r.doc_id)
+    sets = {r.doc_id: shingles(r.text) for r in docs}
+    holds = collections.defaultdict(list)
+    for d, s in sets.items():
+        for x in s or [None]:
+            holds[x].append(d)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, s in sets.items():
+        for e in {e for x in (s or [None]) for e in holds[x] if e < d}:
+            if s == sets[e] or len(s & sets[e]) >= 0.8 * len(s | sets[e]):
+                a, b = find(d), find(e)
+                root[max(a, b)] = min(a, b)
+    assert {r.doc_id for r in stages[3].collect()} == {find(d) for d in sets}
+
+
+def test_mix_and_packing_of_the_stages(spark, stages):
+    from tidewater.llm import mixing
+
+    near, mixed, packed = stages[3:]
+    copies = {r.doc_id: r.mix_copies for r in mixing.mix(near).collect()}
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == {d: n for d, n in copies.items() if n}
+    windows = collections.defaultdict(list)
+    for r in packed.collect():
+        windows[r.sequence_id].append(r)
+    for pieces in windows.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at and (r.doc_tokens > 2048 or r.length == r.doc_tokens)
+            at += r.length
+        assert at <= 2048
+
+
+def test_odd_documents(spark):
+    """Null and empty texts, null ids and sources, repeated rows, an empty table and columns of clashing names go through all stages."""
+    rows = documents()
+    frame_ = frame(spark, rows)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    out = frame_
+    for _, f in pipeline.STAGES:
+        out = f(spark, out, SMALL)
+    assert labels.count() and {r.doc_id for r in out.collect()} <= {r[0] for r in rows} and out.count()
+    out = frame(spark, [])
+    for _, f in pipeline.STAGES:
+        out = f(spark, out, SMALL)
+    assert out.count() == 0
 
 
 def test_run_agrees_with_the_stages(spark, stages):
