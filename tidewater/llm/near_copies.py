@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .blocks import Forest, pieces, streamed
 from .components import components
 from .shared import checkpoint
-from .simhash import near_lanes
+from .simhash import majority, near_lanes
 from .textkernel import HASH_B, Items, Texts, mix, signed, slices, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -82,17 +82,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def set_prints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SimHash fingerprints of the sets: the majority of each bit; zero for the empty one."""
-    out = np.zeros(len(offsets) - 1, dtype=np.uint64)
-    some = np.flatnonzero(np.diff(offsets))
-    if len(some):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > np.diff(offsets)[some, None], axis=1).reshape(-1).view(">u8")
-    return out
-
-
 def linked(sets: list[np.ndarray], prints: np.ndarray, keys: np.ndarray, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Spanning links between sets that share a band key, have fingerprints within the radius, and are similar."""
     forest, size = Forest(len(sets)), np.array([len(s) for s in sets])
@@ -144,7 +133,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 # An id may have several texts; the one that was named stays.
                 own = np.flatnonzero(names(hashes, of) == node[begin:end])
                 key = keys.slice(begin, end - begin).flatten().to_numpy(zero_copy_only=False).reshape(end - begin, -1)[own]
-                for i, j in linked([hashes[of[r] : of[r + 1]] for r in own.tolist()], set_prints(hashes, of)[own], key, similarity):
+                for i, j in linked([hashes[of[r] : of[r + 1]] for r in own.tolist()], majority(hashes, of)[own], key, similarity):
                     out.append((int(node[begin + own[i]]), int(node[begin + own[j]])))
             if out:
                 a, c = np.array(out, dtype=np.int64).T

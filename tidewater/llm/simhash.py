@@ -28,6 +28,8 @@ RADIUS, SEED = 3, 42
 MOST = 4096
 #: Groups up to this size are compared together, as one block.
 SMALL = 16
+#: Hashes whose bits are counted side by side.
+MOST_BITS = 1 << 16
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -50,13 +52,23 @@ def fingerprints(column: pa.Array, shingle: int = 3, seed: int = SEED) -> np.nda
         elif n:
             hashes.append(digest(b" ".join(words), seed))
         ends[r + 1] = len(hashes)
-    out = np.zeros(t.rows, dtype=np.uint64)
-    count = np.diff(ends)
+    return majority(np.array(hashes, dtype=np.uint64), ends)
+
+
+def majority(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each range of hashes the bits set in over half of them; zero for an empty one."""
+    out, count = np.zeros(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)
     some = np.flatnonzero(count)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, ends[some], axis=0, dtype=np.int64)
+    if not len(some):
+        return out
+    if len(hashes) <= MOST_BITS:
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.int64)
         out[some] = np.packbits(2 * ones > count[some, None], axis=1).reshape(-1).view(">u8")
+    else:  # bit by bit, in little memory
+        for b in range(64):
+            ones = np.add.reduceat((hashes >> np.uint64(b)) & np.uint64(1), offsets[some])
+            out[some] |= (2 * ones.astype(np.int64) > count[some]).astype(np.uint64) << np.uint64(b)
     return out
 
 
