@@ -58,7 +58,8 @@ def _copies(docs: DataFrame, b: Bundles, text_col: str) -> DataFrame:
     """(_bundle, id, tag) of the rows whose whole text also is that of a row with a smaller id."""
     rows = docs.where(F.col(b.id).isNotNull()).select(F.col(b.id).alias("id"), F.xxhash64(text_col).alias("tag"), F.xxhash64(F.lit(3), text_col).alias("tag2"))
     least = rows.groupBy("tag", "tag2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    return rows.join(least, ["tag", "tag2"]).where("id > least").select(b.number(F.col("id"), F.col("tag")).alias("_bundle"), "id", "tag")
+    # A table of its own, so that adaptive execution can split the join of a hot text.
+    return rows.join(checkpoint(least), ["tag", "tag2"]).where("id > least").select(b.number(F.col("id"), F.col("tag")).alias("_bundle"), "id", "tag")
 
 
 def _copied(t: pa.Table, id_col: str, ids: list, tags: list) -> np.ndarray:
