@@ -410,7 +410,7 @@ def test_lines_of_templates(spark):
         assert {int(x.doc_id): x.text for x in line_dedup(docs, most=most).collect()} == want
 
 
-@pytest.mark.parametrize("most", [1024, 3])  # the second splits nearly all groups again
+@pytest.mark.parametrize("most", [256, 3])  # the second splits nearly all groups again
 def test_line_dedup(spark, none, most):
     r = random.Random(1)
     lines = []

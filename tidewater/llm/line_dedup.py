@@ -32,7 +32,7 @@ from .shared import checkpoint
 #: Edits at most, and the code points of the shorter line for each of them.
 RADIUS, POINTS = 2, 10
 #: Lines of a group that are verified in one piece; larger groups are split again, so many times.
-MOST, AGAIN = 1024, 16
+MOST, AGAIN = 256, 16
 _BLANK = " \t\n\v\f\r"
 _ROW, _MASK = 32, (1 << 64) - 1
 
