@@ -147,6 +147,15 @@ def test_auto_increment_is_gapless(spark):
     assert ids == list(range(7, 107))
 
 
+def test_auto_increment_of_many_rows(spark):
+    rows = spark.range(1_200_000).select((F.col("id") % 1000).alias("k"), F.xxhash64("id").alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    for order in (["x"], ["k", "x"], ["s"]):
+        r = dml.with_auto_increment(rows, "n", order).agg(F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+        assert (r.d, r.lo, r.hi) == (1_200_000, 1, 1_200_000)
+    numbered = dml.with_auto_increment(rows, "n", ["s"], 1, 8).where("n <= 5").orderBy("n").select("s")
+    assert numbered.collect() == rows.orderBy("s").select("s").limit(5).collect()
+
+
 def test_empty_information_schema(spark):
     assert catalog.empty_table(spark, "TRIGGERS").count() == 0
     with pytest.raises(ValueError):

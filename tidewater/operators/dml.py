@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 
 class DuplicateKey(ValueError):
@@ -57,8 +58,22 @@ def compare_and_set(table: DataFrame, key: list[str], old: DataFrame, new: DataF
 
 
 def with_auto_increment(rows: DataFrame, column: str, order: list[str], start: int = 1, parts: int = 64) -> DataFrame:
-    """Numbers rows from ``start`` in an order. Ranges of the order are counted first, so ranking is not one task's work."""
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    """Numbers rows from ``start`` in an order. Ranges of the first key of the order are counted first, so ranking is not one
+    task's work. Their bounds are literal values taken before either pass, so that both deal the rows alike."""
+    first = rows.schema[order[0]].dataType
+    known = rows.where(F.col(order[0]).isNotNull()).select(F.col(order[0]).alias("k"))
+    numeric = isinstance(first, (NumericType, DateType, TimestampType, TimestampNTZType))
+    if numeric:
+        cuts = known.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)]).alias("c")).first().c or []
+    else:  # of a bounded sample, by hash
+        some = [r.k for r in known.orderBy(F.xxhash64("k")).limit(parts * 64).orderBy("k").collect()]
+        cuts = [some[i * len(some) // parts] for i in range(1, parts)] if some else []
+    cuts = sorted(set(cuts))
+    range_ = F.lit(0)
+    if cuts:
+        bounds = F.array(*[F.lit(c).cast(first) for c in cuts])
+        range_ = F.when(F.col(order[0]).isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b < F.col(order[0]))) + 1)
+    dealt = rows.withColumn("_p", range_)
     counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
