@@ -15,6 +15,14 @@ def analyze(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(c.isNull().cast("long")).alias("nulls"), F.approx_count_distinct(c).alias("ndv"), F.min(c).alias("least"), F.max(c).alias("greatest"))
 
 
+def analyze_table(df: DataFrame) -> DataFrame:
+    """A row per column: column_name, n, nulls, ndv (approximate), least and greatest as text. One scan, one aggregation."""
+    plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    col = lambda c: F.col(f"`{c}`")
+    facts = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n"), F.sum(col(c).isNull().cast("long")).alias("nulls"), F.approx_count_distinct(col(c)).alias("ndv"), F.min(col(c)).cast("string").alias("least"), F.max(col(c)).cast("string").alias("greatest")) for c in plain]
+    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+
+
 def histogram(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, low, high, n) of equal-width buckets between the least and the greatest value: two aggregations, no sort."""
     facts = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))

@@ -2,8 +2,10 @@
 
 Most of the dialect is Spark SQL already. What differs is rewritten on tokens, so that strings and comments stay as they
 are: case-insensitive LIKE with classes, LIKE BINARY, the vector operators ``<->``, ``<*>`` and ``<=>``, one-based
-subscripts, rounding casts, percent formats, ``LIMIT offset, n``, and the table functions SCAN, VECTOR, TEXT_SEARCH and
-HYBRID_SEARCH.
+subscripts, rounding casts, percent formats, ``LIMIT offset, n``, NULL as the highest value of an ORDER BY, ``@var`` and
+``@@var``, the information schema, and the table functions SCAN, VECTOR, TEXT_SEARCH and HYBRID_SEARCH. With the hints
+``/*+ vector_pre */`` and ``/*+ text_search_pre */`` the query's WHERE restricts the rows that are searched; it may name
+columns of the searched table only then. VECTOR's map of index parameters has no effect, as the search is exact.
 """
 
 from __future__ import annotations
@@ -11,18 +13,22 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import system
 from ..functions.strings import like_regex
 from ..functions.temporal import pattern
 from ..operators import vector
 from ..operators.hybrid import hybrid_search
 from ..operators.text import text_search
+from ..sources import catalog
+from .statements import Statements
 
-_TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|'(?:''|\\.|[^'\\])*'|\"[^\"]*\"|`[^`]*`|\d+\.?\d*(?:[eE][+-]?\d+)?|[A-Za-z_][\w$]*|:\w+|<->|<\*>|<=>|<=|>=|<>|!=|\|\||.", re.S)
+_TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|'(?:''|\\.|[^'\\])*'|\"[^\"]*\"|`[^`]*`|\d+\.?\d*(?:[eE][+-]?\d+)?|@@[\w.]+|@\w+|[A-Za-z_][\w$]*|:\w+|<->|<\*>|<=>|<=|>=|<>|!=|\|\||.", re.S)
 OPERATORS = {"<->": "L2", "<*>": "INNER_PRODUCT", "<=>": "COSINE"}
 #: Functions of the dialect by the name of Spark's, where only the name differs.
-NAMES = {"ucase": "upper", "lcase": "lower", "pow": "power", "curdate": "current_date", "from_unixtime": "timestamp_seconds", "schema": "current_database", "database": "current_database", "instr": "instr"}
+NAMES = {"ucase": "upper", "lcase": "lower", "pow": "power", "curdate": "current_date", "from_unixtime": "timestamp_seconds", "schema": "current_database", "database": "current_database", "instr": "instr", "mod": "try_mod"}
 TEMPORARY = {
     "l2Distance": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, v) -> s + v)"),
     "IPDistance": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "1D - aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v)"),
@@ -31,6 +37,9 @@ TEMPORARY = {
     "format": ("x DECIMAL(38,10), d INT", "STRING", "replace(format_number(round(x, 10), d), ',', '')"),
     "curtime": ("", "STRING", "date_format(current_timestamp(), 'HH:mm:ss')"),
 }
+#: Where an ORDER BY and a WHERE end.
+AFTER_ORDER = {"limit", "offset", "rows", "range", "union", "intersect", "except"}
+AFTER_WHERE = {"group", "having", "order", "limit", "union", "intersect", "except", "window"}
 FUNCTION = {"L2": "l2Distance", "INNER_PRODUCT": "IPDistance", "COSINE": "cosineDistance"}
 
 
@@ -40,6 +49,10 @@ class Dialect:
     def __init__(self, spark: SparkSession, metrics: dict[str, str] | None = None):
         """``metrics``: metric by ``table.column`` for VECTOR; L2 where none is given."""
         self.spark, self.metrics, self.prepared = spark, {k.lower(): v for k, v in (metrics or {}).items()}, {}
+        self.users: dict[str, str] = {}
+        self.variables: dict[str, str] = {}
+        self.hints: set[str] = set()
+        self.statements = Statements(self)
         for name, (args, kind, body) in TEMPORARY.items():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
@@ -50,10 +63,18 @@ class Dialect:
         if m := re.match(r"\s*EXECUTE\s+(\w+)(?:\s+USING\s+(.*?))?\s*;?\s*$", text, re.I | re.S):
             values = [self.spark.sql(f"SELECT {v} AS v").first().v for v in m[2].split(",")] if m[2] else []
             return self.sql(self.prepared[m[1].lower()], values)
+        done = self.statements.run(text)
+        if done is not None:
+            return done
+        self.hints = {h.lower() for h in re.findall(r"/\*\+\s*(vector_pre|text_search_pre)\s*\*/", text, re.I)}
         return self.spark.sql(self.translate(text), args=args) if args else self.spark.sql(self.translate(text))
 
     def translate(self, text: str) -> str:
-        return "".join(self._rewrite(_TOKEN.findall(text.strip().rstrip(";"))))
+        return "".join(self._rewrite(self.tokens(text.strip().rstrip(";"))))
+
+    @staticmethod
+    def tokens(text: str) -> list[str]:
+        return _TOKEN.findall(text)
 
     def _rewrite(self, t: list[str]) -> list[str]:
         out: list[str] = []
@@ -64,8 +85,27 @@ class Dialect:
             call = after < len(t) and t[after] == "("
             if low in ("vector", "text_search", "hybrid_search", "scan") and call and self._last(out) in ("from", "join", ","):
                 end = self._close(t, after)
-                out.append(self._table(low, self._split(t[after + 1 : end])))
+                out.append(self._table(low, self._split(t[after + 1 : end]), self._before_search(low, t, end + 1)))
                 i = end + 1
+            elif low == "information_schema" and t[i + 1 : i + 2] == ["."]:
+                out.append(self._view(catalog.information_schema(self.spark, t[i + 2])))
+                i += 3
+            elif word.startswith("@@"):
+                value = {"on": "1", "off": "0"}.get(str(v := system.known(self.spark, word[2:], self.variables)).lower(), v)
+                out.append("NULL" if value is None else value if value.isdigit() else "'" + value.replace("'", "\\'") + "'")
+                i += 1
+            elif word.startswith("@") and len(word) > 1:
+                out.append(self.users.get(word[1:].lower(), "NULL"))
+                i += 1
+            elif low == "version" and call:
+                out.append(f"'{system.VERSION}'")
+                i = self._close(t, after) + 1
+            elif low == "by" and self._last(out) == "order":
+                end = self._until(t, i + 1, AFTER_ORDER)
+                items = ["".join(self._rewrite(self.tokens(x))).strip() for x in self._split(t[i + 1 : end])]
+                high = [x if re.search(r"\bNULLS\s+(FIRST|LAST)$", x, re.I) else x + (" NULLS FIRST" if re.search(r"\bDESC$", x, re.I) else " NULLS LAST") for x in items]
+                out.append("BY " + ", ".join(high) + " ")
+                i = end
             elif low == "array" and after < len(t) and t[after] == "[":
                 end = self._close(t, after)
                 out.append("array(" + "".join(self._rewrite(t[after + 1 : end])) + ")")
@@ -118,6 +158,26 @@ class Dialect:
                 i += 1
         return out
 
+    @staticmethod
+    def _until(t: list[str], i: int, words: set[str]) -> int:
+        """Where one of the words follows outside of brackets, or the brackets around close."""
+        depth = 0
+        for j in range(i, len(t)):
+            depth += (t[j] in "([") - (t[j] in ")]") if len(t[j]) == 1 else 0
+            if depth < 0 or not depth and t[j].lower() in words:
+                return j
+        return len(t)
+
+    def _before_search(self, name: str, t: list[str], i: int) -> tuple[str, str] | None:
+        """The alias of a searched table and its query's condition, if a hint asks for the condition first."""
+        if f"{name}_pre" not in self.hints:
+            return None
+        at = self._until(t, i, {"where"} | AFTER_WHERE)
+        if at == len(t) or t[at].lower() != "where":
+            return None
+        alias = [x for x in t[i:at] if not x.isspace() and x.lower() != "as"]
+        return alias[0] if alias else "", "".join(self._rewrite(t[at + 1 : self._until(t, at + 1, AFTER_WHERE)]))
+
     @staticmethod
     def _skip(t: list[str], i: int) -> int:
         while i < len(t) and t[i].isspace():
@@ -177,25 +237,29 @@ class Dialect:
         df.createOrReplaceTempView(name)
         return name
 
-    def _vector(self, parts: list[str]) -> DataFrame:
+    def _searched(self, table: str, before: tuple[str, str] | None) -> tuple[DataFrame, Column | None]:
+        df = self.spark.table(table)
+        return (df.alias(before[0] or table), F.expr(before[1])) if before else (df, None)
+
+    def _vector(self, parts: list[str], before: tuple[str, str] | None = None) -> DataFrame:
         table, column, query, n = (p.strip() for p in parts[:4])
         values = [float(v) for v in self.spark.sql(f"SELECT {self.translate(query)} AS v").first().v]
         metric = self.metrics.get(f"{table}.{column}".lower(), "L2")
-        df = self.spark.table(table)
-        return vector.vector_search(df, column, values, int(n), metric, df.columns[0], name=f"{column}$distance")
+        df, first = self._searched(table, before)
+        return vector.vector_search(df, column, values, int(n), metric, df.columns[0], first, name=f"{column}$distance")
 
-    def _text(self, parts: list[str]) -> DataFrame:
+    def _text(self, parts: list[str], before: tuple[str, str] | None = None) -> DataFrame:
         table, index, query, n = (p.strip() for p in parts[:4])
-        df = self.spark.table(table)
-        return text_search(df, df.columns[0], query[1:-1], int(n), default=index, name=f"{index}$rank_bm25")
+        df, first = self._searched(table, before)
+        return text_search(df, df.columns[0], query[1:-1], int(n), default=index, prefilter=first, name=f"{index}$rank_bm25")
 
-    def _table(self, name: str, parts: list[str]) -> str:
+    def _table(self, name: str, parts: list[str], before: tuple[str, str] | None = None) -> str:
         if name == "scan":
             return parts[0].strip()
         if name == "vector":
-            return self._view(self._vector(parts))
+            return self._view(self._vector(parts, before))
         if name == "text_search":
-            return self._view(self._text(parts))
+            return self._view(self._text(parts, before))
         found, weights = {}, []
         for p in parts:
             m = re.match(r"\s*(text_search|vector)\s*\((.*)\)\s*$", p, re.I | re.S)

@@ -41,6 +41,21 @@ def table_constraints(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string").selectExpr("table_name", "column_name", "'PRIMARY KEY' AS constraint_type")
 
 
+def statistics(spark: SparkSession) -> DataFrame:
+    """Columns of the primary keys that tables carry as a property."""
+    rows = []
+    for t in spark.catalog.listTables():
+        if not t.isTemporary:
+            key = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES `{t.name}`").collect()}.get("tidewater.key", "")
+            rows += [(t.name, "PRIMARY", i + 1, c) for i, c in enumerate(key.split(",")) if c]
+    return spark.createDataFrame(rows, "table_name string, index_name string, seq_in_index int, column_name string")
+
+
+def information_schema(spark: SparkSession, name: str) -> DataFrame:
+    known = {"tables": tables, "columns": columns, "schemata": schemata, "global_variables": global_variables, "table_constraints": table_constraints, "statistics": statistics}
+    return known[name.lower()](spark) if name.lower() in known else empty_table(spark, name)
+
+
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
     if name.lower() not in ALWAYS_EMPTY:
         raise ValueError(f"no such table: {name}")
