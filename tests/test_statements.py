@@ -6,6 +6,7 @@ import pytest
 from compare import SF
 
 from tidewater.operators.filters import filter_column
+from tidewater.operators.relational import copy_to
 from tidewater.plans.dialect import Dialect
 from tidewater.sources.tables import register, table
 
@@ -107,3 +108,8 @@ def test_filter_expressions(spark):
     assert rows(n.where(filter_column(tree)).select("n_nationkey")) == rows(n.where("n_nationkey >= 3 AND n_regionkey <> 1").select("n_nationkey"))
     with pytest.raises(ValueError):
         filter_column({"operator": "xor", "arguments": []})
+
+
+def test_copies(spark, tmp_path):
+    a, b = copy_to(table(spark, SF, "nation"), [f"{tmp_path}/a", f"{tmp_path}/b"])
+    assert rows(a) == rows(b) == rows(table(spark, SF, "nation"))

@@ -91,3 +91,19 @@ def hash_partitioned(df: DataFrame, n: int, *keys: str) -> DataFrame:
 
 def range_partitioned(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartitionByRange(n, *keys)
+
+
+def gather(frames: list[DataFrame], tasks: int | None = None) -> DataFrame:
+    """All rows of several inputs of the same columns, in fewer tasks if a number is given (no shuffle)."""
+    out = reduce(DataFrame.unionByName, frames)
+    return out.coalesce(tasks) if tasks else out
+
+
+def copy_to(df: DataFrame, paths: list[str]) -> list[DataFrame]:
+    """The same rows in each of the new folders. They are computed once; the other copies are read from the first, so that
+    all agree even if the rows don't come out alike twice."""
+    df.write.parquet(paths[0])
+    first = df.sparkSession.read.parquet(paths[0])
+    for path in paths[1:]:
+        first.write.parquet(path)
+    return [df.sparkSession.read.parquet(path) for path in paths]

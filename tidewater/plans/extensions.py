@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import windows
+from ..operators.filters import filter_column
+from ..operators.relational import gather
 from .registry import Registry
 
 q = Registry()
@@ -22,6 +24,24 @@ q("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP
 q("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")(lambda t: t.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))", "orders"))
 q("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")(lambda t: t.customer.select(c("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey")))
 q("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")(lambda t: t.customer.select(c("c_custkey").alias("k")).subtract(t.orders.select("o_custkey")))
+q("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")(lambda t: t.customer.select(c("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey")))
+q("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")(lambda t: t.customer.select(c("c_nationkey").alias("k")).exceptAll(t.supplier.select("s_nationkey")))
+q("gather_inputs", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation")(
+    lambda t: gather([t.customer.select(c("c_nationkey").alias("k")), t.supplier.select(c("s_nationkey").alias("k")), t.nation.select(c("n_nationkey").alias("k"))], 4)
+)
+q("filter_expression", "SELECT p_partkey FROM part WHERE (p_size < 10 OR p_brand = 'Brand#12') AND NOT (p_retailprice >= 1500)")(
+    lambda t: t.part.where(
+        filter_column(
+            {
+                "operator": "and",
+                "arguments": [
+                    {"operator": "or", "arguments": [{"comparator": "lt", "attribute": "p_size", "value": 10, "value_type": "INT"}, {"comparator": "eq", "attribute": "p_brand", "value": "Brand#12", "value_type": "STRING"}]},
+                    {"operator": "not", "arguments": [{"comparator": "ge", "attribute": "p_retailprice", "value": 1500, "value_type": "DOUBLE"}]},
+                ],
+            }
+        )
+    ).select("p_partkey")
+)
 q("stream_tumbling", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")(
     lambda t: windows.drain(windows.tumbling(windows.stream(t.spark, f"{t.directory}/events.parquet"), "ts", "1 hour", ["event_type"])).select(c("window_start").cast("string").alias("window_start"), "event_type", "n")
 )

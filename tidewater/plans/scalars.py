@@ -28,6 +28,9 @@ q("format_number_plain", "SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(1
 q("cast_round_half_up", "SELECT l_orderkey, l_linenumber, CAST(round(l_quantity / 2) AS INT) AS r, CAST(l_quantity AS VARCHAR) AS s, CAST(l_linenumber AS DOUBLE) AS d, CAST(CAST(l_linenumber AS VARCHAR) AS BIGINT) AS b FROM lineitem")(
     lambda t: t.lineitem.select("l_orderkey", "l_linenumber", numeric.to_int(c("l_quantity") / 2).alias("r"), c("l_quantity").cast("string").alias("s"), c("l_linenumber").cast("double").alias("d"), c("l_linenumber").cast("string").cast("long").alias("b"))
 )
+q("cast_kinds", "SELECT o_orderkey, o_custkey % 3 <> 0 AS b, CAST(o_totalprice AS DECIMAL(18,1)) AS d, CAST(o_orderdate AS VARCHAR)[:10] AS s, strftime(CAST(CAST(o_orderdate AS VARCHAR)[:10] AS DATE), '%Y%m%d') AS day, octet_length(encode(o_orderpriority)) AS n FROM orders")(
+    lambda t: t.orders.select("o_orderkey", (c("o_custkey") % 3).cast("boolean").alias("b"), c("o_totalprice").cast("decimal(18,1)").alias("d"), F.substring(c("o_orderdate").cast("string"), 1, 10).alias("s"), F.date_format(F.substring(c("o_orderdate").cast("string"), 1, 10).cast("date"), "yyyyMMdd").alias("day"), F.octet_length(c("o_orderpriority").cast("binary")).cast("long").alias("n"))
+)
 q("str_concat", "SELECT n_nationkey, n_name || n_nationkey AS a, concat(n_name, '!') AS b, CASE WHEN n_nationkey > 5 THEN n_name || '-' || n_regionkey END AS c FROM nation")(
     lambda t: t.nation.select("n_nationkey", strings.concat(c("n_name"), c("n_nationkey")).alias("a"), strings.concat(c("n_name"), F.lit("!")).alias("b"), strings.concat(strings.concat(c("n_name"), F.lit("-")), F.when(c("n_nationkey") > 5, c("n_regionkey"))).alias("c"))
 )
