@@ -16,12 +16,12 @@ def tokens(text: Column, tokenizer: str = "default", n: int = 3) -> Column:
     if tokenizer == "raw":
         return F.array(text)
     if tokenizer == "whitespace":
-        return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+        return F.array_remove(F.split(text, r"\s+"), "")
     if tokenizer in ("ngram", "chinese"):
         size = n if tokenizer == "ngram" else 1
         low = F.lower(text)
         return F.when(F.char_length(low) < size, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(low) - size + 1), lambda i: F.substr(low, i, F.lit(size))))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.regexp_replace(w, "(?<=..)s$", "")) if tokenizer == "stem" else words
 
 
@@ -35,30 +35,47 @@ def parse_query(query: str, default: str) -> list[tuple[str, str]]:
 
 
 def _frequency(words: Column, term: str) -> Column:
-    return F.coalesce(F.size(F.filter(words, lambda w: w == F.lit(term))), F.lit(0))
+    return F.coalesce(F.size(words) - F.size(F.array_remove(words, term)), F.lit(0))
+
+
+def _may_hold(text: Column, term: str, tokenizer: str) -> Column:
+    """False for most texts without the term, before they are cut into words."""
+    return F.contains(text if tokenizer in ("raw", "whitespace") else F.lower(text), F.lit(term))
 
 
 def bm25(docs: DataFrame, id_col: str, terms: list[tuple[str, str]], tokenizer: str = "default", k1: float = K1, b: float = B, name: str = "rank_bm25") -> DataFrame:
-    """Scores of the documents that hold a term. One scan counts the terms of the query and the lengths in place; document
-    frequencies and mean lengths are one row, joined as such. The postings of other terms are never made."""
-    columns = sorted({c for c, _ in terms})
+    """Scores of the documents that hold a term, with their columns.
+
+    One scan counts documents, terms and words; its result is a row. Another cuts those texts only that may hold a term of
+    the query, and keeps counts of these terms beside the documents' columns. The postings of other terms are never made.
+    """
     terms = list(dict.fromkeys(terms))
     if not terms:
         return docs.limit(0).withColumn(name, F.lit(0.0))
-    rows = docs
-    for c in columns:
-        rows = rows.withColumn(f"_t_{c}", tokens(F.col(c), tokenizer))
-    counts = [_frequency(F.col(f"_t_{c}"), t).alias(f"_f{i}") for i, (c, t) in enumerate(terms)]
-    lengths = [F.when(F.col(c).isNotNull(), F.size(f"_t_{c}")).otherwise(F.lit(0)).alias(f"_l_{c}") for c in columns]
-    rows = rows.select(*docs.columns, *counts, *lengths)
-    facts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f"_l_{c}").alias(f"_a_{c}") for c in columns], *[F.sum((F.col(f"_f{i}") > 0).cast("int")).alias(f"_d{i}") for i in range(len(terms))])
+    columns = sorted({c for c, _ in terms})
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+
+    def cut(rows: DataFrame) -> DataFrame:
+        words = [tokens(F.col(c), tokenizer).alias(f"{own}t_{c}") for c in columns]
+        return rows.select("*", *words)
+
+    lengths = [F.when(F.col(c).isNotNull(), F.size(f"{own}t_{c}")).otherwise(F.lit(0)).alias(f"{own}l_{c}") for c in columns]
+    held = [F.sum(F.coalesce(F.array_contains(f"{own}t_{c}", t), F.lit(False)).cast("int")).alias(f"{own}d{i}") for i, (c, t) in enumerate(terms)]
+    facts = cut(docs).agg(F.count(F.lit(1)).alias(f"{own}n"), *[F.avg(n).alias(f"{own}a_{c}") for c, n in zip(columns, lengths)], *held)
+    reach = F.lit(False)
+    for c, t in terms:
+        reach = reach | F.coalesce(_may_hold(F.col(c), t, tokenizer), F.lit(False))
+    counts = [_frequency(F.col(f"{own}t_{c}"), t).alias(f"{own}f{i}") for i, (c, t) in enumerate(terms)]
+    rows = cut(docs.where(reach)).select(*docs.columns, *counts, *lengths)
     score = F.lit(0.0)
     for i, (c, _) in enumerate(terms):
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.log(F.lit(1.0) + (F.col("_n") - d + 0.5) / (d + 0.5))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (F.lit(1 - b) + b * F.col(f"_l_{c}") / F.col(f"_a_{c}")))
-    any_term = sum((F.col(f"_f{i}") for i in range(len(terms))), F.lit(0)) > 0
-    return rows.where(any_term).join(F.broadcast(facts)).select(*docs.columns, score.alias(name))
+        f, d = F.col(f"{own}f{i}"), F.col(f"{own}d{i}")
+        idf = F.log(F.lit(1.0) + (F.col(f"{own}n") - d + 0.5) / (d + 0.5))
+        score = score + idf * f * (k1 + 1) / (f + k1 * (F.lit(1 - b) + b * F.col(f"{own}l_{c}") / F.col(f"{own}a_{c}")))
+    # every score of a document that holds a term is above 0; as a condition of the join it stays above the cutting
+    return rows.join(F.broadcast(facts), score > 0).select(*docs.columns, score.alias(name))
 
 
 def text_search(docs: DataFrame, id_col: str, query: str, n: int, default: str = "text", tokenizer: str = "default", prefilter: Column | None = None, postfilter: Column | None = None, name: str = "rank_bm25") -> DataFrame:

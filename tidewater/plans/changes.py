@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import dml
 from ..operators.relational import key_range, values
 from ..sources.delimited import export_outfile, load_data
+from ..sources.scratch import scratch
 from .registry import Registry
 
 q = Registry()
@@ -42,8 +40,7 @@ q("auto_increment", "SELECT row_number() OVER (ORDER BY p_name, p_partkey) + 100
 
 @q("load_export_roundtrip", "SELECT p_partkey, p_name, p_size, p_retailprice, p_size > 20 AS big, NULLIF(p_brand, 'Brand#1') AS brand FROM part")
 def _(t):
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
-    path = f"{base}/outfile-{uuid.uuid4().hex}"
+    path = scratch(t.spark, "outfile")
     out = t.part.select("p_partkey", "p_name", "p_size", "p_retailprice", (c("p_size") > 20).alias("big"), F.nullif(c("p_brand"), F.lit("Brand#1")).alias("brand"))
     export_outfile(out, path, sep="|")
     return load_data(t.spark, path, out.schema, sep="|")

@@ -10,14 +10,18 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str = "local[*]", **options: str) -> SparkSession:
-    """A session with the engine's settings: UTC, case-insensitive names, adaptive execution."""
+    """A session with the engine's settings: UTC, case-insensitive names, adaptive execution.
+
+    On one machine a shuffle has 8 partitions. On a cluster shuffles start from many, which adaptive execution joins to
+    partitions of the advisory size, so their number follows the data.
+    """
     builder = SparkSession.builder.master(master).appName("tidewater")
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.caseSensitive": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
+        **({"spark.sql.shuffle.partitions": "8"} if master.startswith("local") else {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192"}),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
