@@ -170,10 +170,18 @@ def border_ids(df: DataFrame, id_col: str = "vec_id") -> DataFrame:
     return df.agg(F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"), F.count(id_col).alias("n"))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with value computed once a row. A lambda computes what it captures again for each element, but its own variable once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def hash_embedding(text: Column, dimension: int = 16) -> Column:
-    """txt2vec without a service: word hashes folded into a unit vector; deterministic, for tests and fallbacks."""
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
+    """txt2vec without a service: word hashes folded into a unit vector; deterministic, for tests and fallbacks.
+
+    A text is cut into words once, whatever the dimension. A text without words gives zeros, a null text nulls.
+    """
+    words = F.array_remove(F.split(F.lower(text), r"\W+"), "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v)) + F.lit(TINY)
-    return F.transform(raw, lambda v: (v / norm).cast("float"))
+    raw = _once(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.array_size(s) - F.array_size(F.array_remove(s, i))).cast("double")))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, v: s + v * v)) + F.lit(TINY)
+    return _once(raw, lambda r: _once(norm(r), lambda n: F.transform(r, lambda v: (v / n).cast("float"))))
