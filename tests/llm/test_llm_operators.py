@@ -100,6 +100,19 @@ def test_cached_encoder_agrees_with_whole_texts():
             assert np.frombuffer(got, "<u4").tolist() == whole(text)[:-1], text
 
 
+def test_encoder_keeps_each_word_once(monkeypatch):
+    """All that an encoder keeps is within its bound, and ids stay right when it starts anew."""
+    from tidewater.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    words = [f"{a}{b}{c}" for a in "bdfgé" for b in "aeioó" for c in ("l", "n", "r", "st")]
+    text = " ".join(x for w in words for x in (w, w + ",", w.capitalize(), "(" + w + ")"))
+    for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        code = Encoder(vocabulary(name), drops)
+        assert np.frombuffer(code.encode([text])[0], "<u4").tolist() == ids_of(name, 0)(text)[:-1]
+        assert sum(len(x) for x in vars(code).values() if isinstance(x, dict)) <= 50
+
+
 def test_token_files(spark, docs, none):
     path = write_tokens(docs, shared_path(spark, "t"), vocabulary("word_bpe_49k.json"), 2, files=5)
     code = ids_of("word_bpe_49k.json", 2)

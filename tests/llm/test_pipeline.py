@@ -147,3 +147,37 @@ def test_odd_documents(spark):
 def test_run_agrees_with_the_stages(spark, stages):
     got = pipeline.run(spark, SMALL)
     assert got.agg(F.sum("length")).first()[0] == stages[-1].agg(F.sum("length")).first()[0]
+
+
+def test_steps_of_components_write_few_files(spark, monkeypatch):
+    """Where adaptive execution joins no partitions, files of a step follow its edges, not the shuffle's partitions."""
+    from tidewater.llm import components as module
+
+    made, keep = [], module.checkpoint
+    monkeypatch.setattr(module, "checkpoint", lambda df: made.append(keep(df)) or made[-1])
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)], "a long, b long")
+        got = {r.node: r.component for r in module.components(edges).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+    assert len(made) > 2 and all(df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism for df in made[1:])
+
+
+def test_lines_of_large_groups_take_one_worker(spark, monkeypatch):
+    """No task of the groups that are split again has two Python steps without an exchange between them."""
+    from tidewater.llm import line_dedup as module
+
+    plans, keep = [], module.checkpoint
+    monkeypatch.setattr(module, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    docs = spark.createDataFrame([(i, "\n".join(f"page {i * 20 + k:04d} of the whole book" for k in range(20))) for i in range(10)], "doc_id long, text string")
+    module.line_dedup(docs, most=4).collect()
+    again = [p for p in plans if "split(" in p]
+    assert again
+    for plan in again:
+        steps = [x for x in plan.split("== Initial Plan ==")[-1].splitlines() if "Arrow" in x or "Exchange" in x]
+        assert not any("MapInArrow" in x and "Arrow" in y for x, y in zip(steps, steps[1:])), plan

@@ -15,7 +15,7 @@ and only there it is split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -201,9 +201,24 @@ def _text(line: str, ranges: list[tuple[int, int]]) -> str:
 
 #: A line in a group: ``rest``, the ranges of it that edits can be in; ``r``, the edits in reach (0: by its length); ``salt``, of the keys.
 _HOT = "key long, h long, own long, line string, rest array<int>, r int, salt long"
+#: A line without what its group's key is made of: ``text`` is what is left.
+_LEFT = "key long, h long, line string, rest array<int>, r int, text string"
 
 
-def _finer(hot: DataFrame, radius: int) -> DataFrame:
+def _left(rows: Iterable[tuple], radius: int) -> list[tuple]:
+    """Rows of _LEFT, of (key, h, line, rest, r, salt)."""
+    out = []
+    for key, h, line, rest, r, salt in rows:
+        rest = _ranges(rest)
+        text, points = _text(line, rest), 0 if r else POINTS
+        for (seed, i, j, _), (k, _) in zip(places(len(text), r or radius, points), keys(text, r or radius, points, salt)):
+            if k == key:
+                left = _without(rest, i, j)
+                out.append((key, h, line, _flat(left), r or reach(seed // 16, radius), _text(line, left)))
+    return out
+
+
+def _finer(left: DataFrame, radius: int) -> DataFrame:
     """The lines of large groups again, under the keys of what is left of them. ``own`` is 2 where all is in reach."""
 
     def columns(t: pa.RecordBatch, *names: str):
@@ -212,21 +227,8 @@ def _finer(hot: DataFrame, radius: int) -> DataFrame:
     def batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-    left_schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("line", pa.string()), ("rest", pa.list_(pa.int32())), ("r", pa.int32()), ("text", pa.string())])
     hot_schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("own", pa.int64()), ("line", pa.string()), ("rest", pa.list_(pa.int32())), ("r", pa.int32()), ("salt", pa.int64())])
 
-    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, h, line, rest, r, salt in columns(b, "key", "h", "line", "rest", "r", "salt"):
-                rest = _ranges(rest)
-                text, points = _text(line, rest), 0 if r else POINTS
-                for (seed, i, j, _), (k, _) in zip(places(len(text), r or radius, points), keys(text, r or radius, points, salt)):
-                    if k == key:
-                        left = _without(rest, i, j)
-                        out.append((key, h, line, _flat(left), r or reach(seed // 16, radius), _text(line, left)))
-            yield batch(out, left_schema)
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -245,7 +247,6 @@ def _finer(hot: DataFrame, radius: int) -> DataFrame:
                     out.append((salt, h, 2, *row))
             yield batch(out, hot_schema)
 
-    left = hot.mapInArrow(take_out, "key long, h long, line string, rest array<int>, r int, text string")
     edges = left.groupBy("key").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.min(F.reverse("text")).alias("back_lo"), F.max(F.reverse("text")).alias("back_hi"), F.min(F.char_length("text")).alias("least"))
     rows = left.join(edges, "key").mapInArrow(split, _HOT)
     rows = rows.groupBy("key", "h", "rest").agg(F.max("own").alias("own"), F.first("line").alias("line"), F.first("r").alias("r"), F.first("salt").alias("salt"))
@@ -256,6 +257,7 @@ def _finer(hot: DataFrame, radius: int) -> DataFrame:
 def line_links(b: Bundles, owners: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """(a, b): links between the hashes of different lines in reach, enough to span their classes. ``owners``: (h, _bundle)."""
     text = b.text
+    left_schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("line", pa.string()), ("rest", pa.list_(pa.int32())), ("r", pa.int32()), ("text", pa.string())])
 
     def entries(number, t, wanted):
         want, key, h, mark = set(wanted.column("h").to_pylist()), [], [], []
@@ -273,6 +275,19 @@ def line_links(b: Bundles, owners: DataFrame, radius: int = RADIUS, most: int =
         found = {x: line for (x, _), (_, _, line) in _firsts(t, text).items() if x in want} if want else {}
         return pa.table({c: wanted.column(c) for c in ("key", "h", "own", "_n")} | {"line": pa.array([found[x] for x in h], pa.string())})
 
+    def left_of(rows: Iterable[tuple]) -> pa.Table:
+        out = _left(rows, radius)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(left_schema), left_schema)], schema=left_schema)
+
+    def fetch_left(number, t, wanted):
+        # One Python worker does both: each further one of a task stays with the executor, with all it has imported.
+        got = fetch(number, t, wanted)
+        return left_of((key, h, line, [0, len(line)], 0, 0) for key, h, line in zip(*(got.column(c).to_pylist() for c in ("key", "h", "line"))))
+
+    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            yield from left_of(zip(*(t.column(t.schema.get_field_index(c)).to_pylist() for c in ("key", "h", "line", "rest", "r", "salt")))).to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(batch: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
             col = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -296,9 +311,9 @@ def line_links(b: Bundles, owners: DataFrame, radius: int = RADIUS, most: int =
     large = met.where(F.col("_n") > most)
     if large.isEmpty():
         return out
-    hot = b.apply_with(large, fetch, fetched).select("key", "h", "own", "line", F.array(F.lit(0), F.char_length("line")).alias("rest"), F.lit(0).alias("r"), F.lit(0).cast("long").alias("salt"))
+    left = b.apply_with(large, fetch_left, _LEFT)
     for step in range(AGAIN):
-        found = _finer(hot, radius)
+        found = _finer(left, radius)
         out = out.unionByName(found.where("own = 2 and h <> lo").select(F.col("h").alias("a"), F.col("lo").alias("b")))
         found = found.where("some = 1")
         last = step == AGAIN - 1
@@ -306,6 +321,7 @@ def line_links(b: Bundles, owners: DataFrame, radius: int = RADIUS, most: int =
         hot = found.where(F.col("_n") > most)
         if last or hot.isEmpty():
             break
+        left = hot.mapInArrow(take_out, _LEFT)
     return out
 
 

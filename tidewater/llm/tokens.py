@@ -1,22 +1,23 @@
-"""Encoding with a public tokenizer, word by word through caches.
+"""Encoding with a public tokenizer, word by word through a cache.
 
 The tokenizers library does all encoding. A text is cut only where the tokenizer's own splitting always cuts, before a
 single space between two other characters, so the ids of the pieces in a row are those of the text; pieces repeat a lot,
 and each is encoded once per worker while the cache holds it. Most pieces are a word of Latin letters between ASCII
 punctuation, which the tokenizer splits just there: those words go to the library's BPE model directly, without the
-normalising and splitting that leave them as they are, and have a cache of their own. Texts with other runs of white
-space are cut at the safe places only, or encoded whole.
+normalising and splitting that leave them as they are; what stands beside a mark or in capitals is looked up without
+them, so each word is encoded once. Texts with other runs of white space are cut at the safe places only, or encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import sys
 from array import array
 
-#: Pieces and words that a worker's caches hold at most; a full one starts anew, which changes speed only.
-CACHE_PIECES, CACHE_WORDS = 400_000, 500_000
+#: Pieces that a worker's cache holds at most; a full one starts anew, which changes speed only.
+CACHE_PIECES = 500_000
 #: Longer pieces are not kept.
 CACHE_LENGTH = 48
 
@@ -26,14 +27,17 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LINES = re.compile(r" ?[^\s]+(?:\n[^\s]+)+")
 #: (space) punctuation, letters, punctuation: ASCII punctuation but the apostrophe, and the letters of Latin-1.
 _PLAIN = re.compile(r"( ?)([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The letters of _PLAIN.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _CODECS: dict = {}
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow."""
+def _byte_letters() -> str:
+    """By byte, the letters that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    known = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(known[b] for b in range(256))
 
 
 def _rare(text: str) -> bool:
@@ -58,7 +62,6 @@ class Encoder:
         added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile(added, re.I if lower else 0) if added else None
         self.cache = _Pieces(self)
-        self.words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.lower:
@@ -73,42 +76,27 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of letters, with the space before them if they have one."""
-        got = self.words.get(word)
-        if got is None:
-            if not word.isascii():
-                form = word.encode().decode("latin-1").translate(self.letters)
-            else:
-                form = self.letters[32] + word[1:] if word[0] == " " else word
-            got = _packed([t.id for t in self.model.tokenize(form)])
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = got
-        return got
+        form = codecs.charmap_decode(word.encode(), "strict", self.letters)[0]
+        return _packed([t.id for t in self.model.tokenize(form)])
 
     def piece(self, piece: str) -> bytes:
-        if piece.isascii():  # most are a word, or a word and a mark
-            body = piece[1:] if piece[:1] == " " else piece
-            if body.isalpha():
-                return self.word(piece.lower() if self.lower else piece)
-            if body[:-1].isalpha() and body[-1] in ".,;:!?":
-                return self.word(piece[:-1].lower() if self.lower else piece[:-1]) + self.mark(body[-1])
+        body = piece[1:] if piece[:1] == " " else piece
+        if _LETTERS(body):  # most are a word, or a word and a mark
+            word = piece.lower() if self.lower else piece
+            return self.word(word) if word == piece else self.cache[word]
+        if body[-1:] in ".,;:!?" and _LETTERS(body[:-1]):
+            return self.cache[piece[:-1]] + self.cache[body[-1]]
         m = _PLAIN.fullmatch(piece)
         if not m:
             if not self.lower and _LINES.fullmatch(piece):
-                return self.mark("\n").join([self.piece(p) for p in piece.split("\n")])
+                return self.cache["\n"].join([self.cache[p] for p in piece.split("\n")])
             return self.whole(piece)
         space, before, letters, after = m.groups()
         if self.lower:
             letters, space = letters.lower(), ""
         if before:
-            return self.mark(space + before) + self.word(letters) + (self.mark(after) if after else b"")
-        return self.word(space + letters) + (self.mark(after) if after else b"")
-
-    def mark(self, marks: str) -> bytes:
-        got = self.words.get(marks)
-        if got is None:
-            got = self.words[marks] = self.whole(marks)
-        return got
+            return self.cache[space + before] + self.cache[letters] + (self.cache[after] if after else b"")
+        return self.cache[space + letters] + (self.cache[after] if after else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, added, get = [], self.added, self.cache.__getitem__
