@@ -133,6 +133,12 @@ def test_token_files(spark, docs, none):
     assert token_index(spark, write_tokens(none, shared_path(spark, "t"), vocabulary("word_bpe_49k.json"), 2)).count() == 0
 
 
+def test_token_files_are_cheap_to_write_and_read(spark, docs):
+    """Runs of integers gain little from zstd."""
+    path = write_tokens(docs, shared_path(spark, "t"), vocabulary("word_bpe_49k.json"), 2, files=2)
+    assert all(x.endswith(".lz4.orc") for x in read_tokens(spark, path).inputFiles())
+
+
 def test_toxicity_on_held_out(spark):
     r = random.Random(5)
     clean = "the of and thion erst anble inere shion ation hewh".split()

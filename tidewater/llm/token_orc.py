@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, lower
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_tag"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(files or partitions(docs.sparkSession, estimated_bytes(docs)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_tag")
     coded = rows.mapInArrow(run, f"doc_id {kind}, row_tag long, ids array<int>")
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(stripe_mb << 20), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(stripe_mb << 20), "compression": "lz4"}
     coded.write.options(**options).orc(path)
     return path
 
